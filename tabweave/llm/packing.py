@@ -26,7 +26,7 @@ from tabweave.llm.scratch import Scratch
 
 CAPACITY = 1024
 #: Documents of one length that one ranking bucket holds on average.
-BUCKET = 20_000
+BUCKET = 500
 #: Relative gap to the linear program's lower bound at which column generation stops, and its most rounds.
 GAP, ROUNDS = 0.002, 4000
 #: Fixed value: the special token of the vocabulary; the library parses it inside texts by default.
