@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.batches import Rows, strings
+from tabweave.llm.scratch import Scratch
 
 #: Bounds of the training samples: toxic texts, unlabelled texts, and distinct words used by the model.
 POSITIVES, UNLABELLED, WORDS = 4000, 12000, 4096
@@ -29,6 +30,8 @@ LEAST_DOCS = 5
 WORD = re.compile(r"\w+")
 REMEMBER = 500_000
 PRIOR_MARGIN = 1.07
+#: Least word codes that near copies of a sampled text agree in.
+SKETCH = 8
 #: Lengths of word beginnings that are features of their own.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -60,100 +63,108 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
-def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[pa.Table, float]:
-    """Word codes of the sampled texts (columns toxic, codes), and the class prior.
+def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, words: int = WORDS, least: int = LEAST_DOCS) -> tuple[pa.Table, np.ndarray, float]:
+    """The sampled texts (columns toxic, codes), the codes of the words that the model uses,
+    and the class prior.
 
-    Labels are read only outside the held-out fold; so is the unlabelled sample.
-    The prior is the toxic share of those labelled rows, PRIOR_MARGIN and 1.5 standard
+    Labels are read only outside the held-out fold; so is the unlabelled sample.  The
+    prior is the toxic share of those labelled rows, PRIOR_MARGIN and 1.5 standard
     errors above what was counted: with too small a prior, sampling noise makes words
     that only toxic texts hold look partly clean, while the clamp of the risk keeps
-    too large a one in check.
+    too large a one in check.  Of sampled texts that agree in mark and in their least
+    word codes (near copies) one is used.  Word counts stay in Spark; the driver gets
+    at most ``words`` words and the sampled texts restricted to them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(in_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share, n = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic"), F.count("*")).first()
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    share, n = known.agg(F.avg("toxic"), F.count("*")).first()
     prior = min(share * PRIOR_MARGIN + 1.5 * math.sqrt(share * (1 - share) / n), 0.9) if share else 0.0
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = known.filter("toxic = 1").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").orderBy(*order).limit(positives)
+    toxic = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
     rest = docs.filter("doc_id is not null").filter(in_fold() != 0).select("doc_id").distinct().orderBy(*order).limit(unlabelled)
     chosen = toxic.select("doc_id", F.lit(True).alias("toxic")).unionByName(rest.select("doc_id", F.lit(False).alias("toxic")))  # at most positives + unlabelled rows
+    coded = pa.schema([("toxic", pa.bool_()), ("codes", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(pa.schema([("toxic", pa.bool_()), ("codes", pa.list_(pa.int64()))]))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(coded)
         for b in batches:
             for toxic_, text in zip(b["toxic"].to_pylist(), strings(b["text"])):
                 codes = sorted(map(code, words_of(text)))
                 yield from out.add((toxic_, codes), 8 * len(codes))
         yield from out.flush()
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return texts.mapInArrow(run, "toxic boolean, codes array<long>").toArrow(), float(prior)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(encode, "toxic boolean, codes array<long>")
+    one = scratch.write(texts.groupBy("toxic", F.slice("codes", 1, SKETCH).alias("least")).agg(F.min("codes").alias("codes")).drop("least"), "sample")
+    n_toxic, n_all = one.agg(F.count_if("toxic"), F.count("*")).first()
+    if not n_toxic or n_toxic == n_all or not prior:
+        scratch.drop()
+        return coded.empty_table(), np.zeros(0, np.int64), prior
+    counts = scratch.write(one.select("toxic", F.explode("codes").alias("code")).groupBy("code").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")), "counts")
+    best = counts.withColumn("ratio", evidence(n_toxic, n_all)).filter((F.col("a") >= least) & (F.col("ratio") > 2 * math.log(counts.count() + 1)))
+    use = np.array([r[0] for r in best.orderBy(F.desc("ratio"), "code").limit(words).select("code").collect()], np.int64)
+    wanted = frozenset(use.tolist())
+
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [[c for c in codes if c in wanted] for codes in b["codes"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(kept, pa.list_(pa.int64()))], schema=coded)
+
+    table = one.mapInArrow(restrict, "toxic boolean, codes array<long>").toArrow()
+    scratch.drop()
+    return table, use, prior
 
 
-def evidence(in_toxic: np.ndarray, in_rest: np.ndarray, n_toxic: int, n_rest: int, words: int, least: int) -> np.ndarray:
-    """Words over-represented in toxic texts beyond chance: the log-likelihood ratio of the two
-    document rates must exceed what the best of as many words would reach by chance."""
-    total, n = in_toxic + in_rest, n_toxic + n_rest
-    expected = total * (n_toxic / n)
-    other = np.maximum(total - expected, 1e-9)
-    ratio = 2 * (in_toxic * np.log(np.maximum(in_toxic, 1e-9) / np.maximum(expected, 1e-9)) + in_rest * np.log(np.maximum(in_rest, 1e-9) / other))
-    ratio[(in_toxic < least) | (in_toxic <= expected)] = 0.0
-    floor = 2 * np.log(len(total) + 1)
-    chosen = np.argsort(-ratio, kind="stable")[:words]
-    return chosen[ratio[chosen] > floor]
+def evidence(n_toxic: int, n_all: int) -> Column:
+    """For a word in ``a`` toxic and ``b`` other sampled texts: the log-likelihood ratio of the two
+    rates where the toxic one is higher, else 0.  A word counts if the ratio exceeds what the
+    best of as many words would reach by chance, twice the logarithm of their number."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    expected = (a + b) * (n_toxic / n_all)
 
+    def part(seen: Column, due: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / due)).otherwise(F.lit(0.0))
 
-def _one_of_copies(lists: pa.ListArray, toxic: np.ndarray, sketch: int = 8) -> np.ndarray:
-    """Rows of the sample, one of those that agree in mark and in their least word codes:
-    near copies of a text would count its words over and over."""
-    flat, at, first = lists.flatten().to_numpy(), lists.offsets.to_numpy(), {}
-    for i in range(len(toxic)):
-        first.setdefault((bool(toxic[i]), flat[at[i] : min(at[i + 1], at[i] + sketch)].tobytes()), i)
-    return np.array(sorted(first.values()), np.int64)
+    return F.when(a > expected, 2 * (part(a, expected) + part(b, a + b - expected))).otherwise(F.lit(0.0))
 
 
-def train(table: pa.Table, prior: float, words: int = WORDS, least: int = LEAST_DOCS, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Model:
+def train(table: pa.Table, use: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Minimise the non-negative PU risk by Adam over whole samples.
 
-    Without toxic samples, or with prior 0, every text scores 0; without features, the prior."""
+    Without toxic or other samples, or with prior 0, every text scores (about) 0; without words, below one half."""
+    if not len(table):
+        return Model({}, -30.0)
+    if not len(use):
+        return Model({}, math.log(prior / (1 - prior)) if prior < 0.5 else -1e-6)
+    use = np.sort(use)
     table = table.combine_chunks()
     toxic = table["toxic"].to_numpy().astype(bool)
-    if not toxic.any() or prior <= 0:
-        return Model({}, -30.0)
     lists = table["codes"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    alone = _one_of_copies(lists, toxic)
-    lists, toxic = lists.take(pa.array(alone)), toxic[alone]
-    codes, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-    vocab, col = np.unique(codes, return_inverse=True)
-    chosen = evidence(np.bincount(col[toxic[row]], minlength=len(vocab)), np.bincount(col[~toxic[row]], minlength=len(vocab)), toxic.sum(), (~toxic).sum(), words, least)
-    if not len(chosen):
-        return Model({}, float(np.log(prior / (1 - prior + 1e-9) + 1e-9)))
-    place = np.full(len(vocab), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[col] >= 0
-    row, col = row[use], place[col[use]]
-    w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    col, row = np.searchsorted(use, lists.flatten().to_numpy()), np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    order = np.lexsort((row, col))  # sums in an order that the rows' order does not change
+    w, m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     w[-1] = np.log(prior / (1 - min(prior, 0.999)))
-    n_toxic, n_rest = toxic.sum(), max((~toxic).sum(), 1)
+    col, row = col[order], row[order]
+    n_toxic, n_rest = toxic.sum(), (~toxic).sum()
+    clean = np.where(toxic, -prior / n_toxic, 1 / n_rest)
     for step in range(1, steps + 1):
         g = np.bincount(row, w[col], len(toxic)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # derivative of the loss of calling a text clean; minus (1 - s) of calling it toxic
-        clean = np.where(toxic, -prior / n_toxic, 1 / n_rest)
-        risk = float((clean * np.logaddexp(0, g)).sum())
-        if risk >= 0:
+        if (clean * np.logaddexp(0, g)).sum() >= 0:
             grad = clean * s - np.where(toxic, (1 - s) * prior / n_toxic, 0.0)
         else:  # clamped: a step back up, as in the published algorithm
             grad = -clean * s
-        full = np.append(np.bincount(col, grad[row], len(chosen)) + ridge * w[:-1], grad.sum())
+        full = np.append(np.bincount(col, grad[row], len(use)) + ridge * w[:-1], grad.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # No more of the unlabelled texts are called toxic than the prior says: the bias ends between two totals there.
     totals = np.sort(np.bincount(row, w[col], len(toxic))[~toxic])[::-1]
     cut = int(prior * len(totals))
-    below = totals[cut] if cut < len(totals) else -np.inf
-    above = totals[totals > below]
-    w[-1] = min(w[-1], -(below + (above[-1] if len(above) else below + 2)) / 2) if np.isfinite(below) else w[-1]
-    return Model({int(c): float(x) for c, x in zip(vocab[chosen], w)}, float(w[-1]))
+    if cut < len(totals):
+        above = totals[totals > totals[cut]]
+        w[-1] = min(w[-1], -(totals[cut] + (above[-1] if len(above) else totals[cut] + 2)) / 2)
+    return Model({int(c): float(x) for c, x in zip(use, w)}, float(w[-1]))
 
 
 def scorer(model: Model):
