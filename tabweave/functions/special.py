@@ -70,10 +70,11 @@ lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 def gamma_cdf(x, a) -> np.ndarray:
     """Regularised lower incomplete gamma function: series below a + 1, continued fraction above."""
+    log_gamma = lgamma(a)  # before broadcasting: usually one number
     x, a = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float))
     x = np.maximum(x, 0.0)
     safe = np.maximum(x, 1e-300)
-    front = np.exp(a * np.log(safe) - safe - lgamma(a))
+    front = np.exp(a * np.log(safe) - safe - log_gamma)
     term = total = 1.0 / a
     for k in range(1, 400):
         term = term * x / (a + k)
@@ -97,12 +98,13 @@ def gamma_cdf(x, a) -> np.ndarray:
 
 def beta_cdf(x, a, b) -> np.ndarray:
     """Regularised incomplete beta function by Lentz's continued fraction."""
+    log_beta = lgamma(a) + lgamma(b) - lgamma(np.add(a, b))  # before broadcasting: usually one number
     x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
     x = np.clip(x, 0.0, 1.0)
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     y = np.clip(y, 1e-300, 1 - 1e-16)
-    front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    front = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta) / p
     tiny = 1e-300
     c, d = np.ones(y.shape), 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -137,19 +139,36 @@ def inverse(cdf, p, low, high, turns: int = 80) -> np.ndarray:
     return (a + b) / 2
 
 
+def tabulated(quantile, p: np.ndarray) -> np.ndarray:
+    """A continuous quantile function at many points: exact at 4001 points that are even on the
+    normal scale, linear between them."""
+    z = np.linspace(-8.0, 8.0, 4001)
+    return np.interp(norm_ppf(np.clip(p, 1e-15, 1 - 1e-15)), z, quantile(norm_cdf(z)))
+
+
+#: Number of points above which quantiles are interpolated from a table.
+MANY = 8000
+
+
 def t_ppf(p, df) -> np.ndarray:
     p = np.asarray(p, float)
     if np.isinf(df):
         return norm_ppf(p)
-    y = inverse(lambda v: beta_cdf(v, df / 2, 0.5), np.clip(2 * np.minimum(p, 1 - p), 1e-300, 1.0), 0.0, 1.0, 200)
+    if p.size > MANY:
+        return tabulated(lambda v: t_ppf(v, df), p)
+    y = inverse(lambda v: beta_cdf(v, df / 2, 0.5), np.clip(2 * np.minimum(p, 1 - p), 1e-300, 1.0), 0.0, 1.0, 120)
     return np.sign(p - 0.5) * np.sqrt(df * (1 / np.maximum(y, 1e-300) - 1))
 
 
 def gamma_ppf(p, a) -> np.ndarray:
+    if np.size(p) > MANY:
+        return tabulated(lambda v: gamma_ppf(v, a), np.asarray(p, float))
     return inverse(lambda v: gamma_cdf(v, a), p, 0.0, float(a) + 40 * math.sqrt(float(a)) + 60)
 
 
 def beta_ppf(p, a, b) -> np.ndarray:
+    if np.size(p) > MANY:
+        return tabulated(lambda v: beta_ppf(v, a, b), np.asarray(p, float))
     return inverse(lambda v: beta_cdf(v, a, b), p, 0.0, 1.0)
 
 
