@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), n AS (
-  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS size FROM v
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v
 ), edges AS (
   SELECT a.vec_id AS u, b.vec_id AS w
   FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0
