@@ -192,10 +192,14 @@ def find(docs: DataFrame, scratch: Scratch | None = None, **settings) -> DataFra
     fresh = fresh.select("row", "start", "end").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("extra"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     both = table.select("row", "doc_id", "base").join(fresh, "row", "left").withColumn("extra", F.coalesce("extra", none))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return both.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "extra"))).alias("spans"), F.size("extra").cast("long").alias("n_context"))
 
 
+def _count(spans: str, kind: int):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def _written(spans):
     names = F.array(*[F.lit(k) for k in (*KINDS, "context")])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))

@@ -114,6 +114,11 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def count_of(spans: str, field: str, value: int) -> Column:
+    """Number of spans whose ``field`` is ``value``."""
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")
+
+
 def with_spans(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, base: str = "_base", extra: str = "_extra") -> DataFrame:
     """``docs`` with two more columns: arrays of (start, rank, end), sorted by start and
     then kind, of base spans and of entropy spans (those that touch no base span).
@@ -139,7 +144,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     the empty string); null doc_id stays null; an empty table gives an empty table.
     """
     found = with_spans(docs.select("doc_id", "text"), allow=allow)
-    counts = [F.size(F.filter("_base", lambda s, rank=rank: s["rank"] == rank)).cast("long").alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
+    counts = [count_of("_base", "rank", rank).alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("_base", "_extra"))).alias("spans"), F.size("_extra").cast("long").alias("n_entropy"))
 
 
