@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -110,8 +111,6 @@ class SmoothModel:
 
     def draw(self, df: DataFrame, row_id: str, seed: int) -> DataFrame:
         """(row_id, draw): fitted mean plus a residual of one of the nearest training means."""
-        import pandas as pd
-
         order, res, local = self.means, self.residuals, min(self.local, len(self.means))
 
         @F.pandas_udf("double")

@@ -110,6 +110,7 @@ def _read(spark: SparkSession, paths: list[str], f: Format, packed: str | None,
             import pyreadstat
 
             raise RuntimeError(f"{f.name} needs a local path for {pyreadstat.__name__}")
+        part = part.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in part.dtypes])
         out = part if out is None else out.unionByName(part)
     return out
 
