@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tabweave.functions.rng import check_seed
 from tabweave.operators.features import Features, logistic, stacked, with_quadratics
-from tabweave.operators.ranks import average_rank, missing, running_totals, unpivoted
+from tabweave.operators.ranks import average_rank, missing, quantile_grid, running_totals, unpivoted
 
 NUMERIC = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -61,12 +61,12 @@ def ks(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
 
 def wasserstein(real: DataFrame, synthetic: DataFrame, columns: list[str], grid: int = 999) -> DataFrame:
     """(variable, wasserstein): mean distance of the quantiles at k / (grid + 1), over the real standard deviation."""
-    p = F.array(*[F.lit(k / (grid + 1)) for k in range(1, grid + 1)])
-    sides = _sides(real, synthetic, columns)
-    q = sides.groupBy("variable", "side").agg(F.percentile("value", p).alias("q"), F.stddev_samp("value").alias("sd"))
-    a, b = q.filter("side = 0").select("variable", F.col("q").alias("qa"), "sd"), q.filter("side = 1").select("variable", F.col("q").alias("qb"))
-    mean = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / grid
-    return a.join(b, "variable").select("variable", (mean / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("wasserstein"))
+    sides = _sides(real, synthetic, columns).withColumn("at", F.concat_ws("|", "side", "variable"))
+    q = quantile_grid(sides, "at", "value", grid)
+    a, b = (q.filter(F.col("at").startswith(f"{side}|")).select(F.expr("substr(at, 3)").alias("variable"), "k", F.col("q").alias(name)) for side, name in ((0, "qa"), (1, "qb")))
+    sd = sides.filter("side = 0").groupBy("variable").agg(F.stddev_samp("value").alias("sd"))
+    mean = a.join(b, ["variable", "k"]).groupBy("variable").agg((F.sum(F.abs(F.col("qa") - F.col("qb"))) / grid).alias("d"))
+    return mean.join(sd, "variable").select("variable", (F.col("d") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("wasserstein"))
 
 
 def total_variation(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
