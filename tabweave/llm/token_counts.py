@@ -3,8 +3,8 @@
 The cache is a Parquet table of (content digest, tokenizer digest, n_tokens).
 Content digests join it; only distinct texts that it lacks are encoded, and
 their counts are appended.  Texts are compressed on the way to the encoder, and
-each task sends a text it has already seen only once, so a text that a third of
-all rows share crosses the shuffle at most once per task.
+each task sends a text it has already seen only once.  A text that very many rows
+share is sent by one of them alone, and its count goes to its rows, not they to it.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.batches import Rows, utf8
+from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -47,19 +48,18 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def _sent(known: str):
+def _sent():
     """Digest and compressed text, once per distinct text of a task."""
     schema = pa.schema([("content", pa.string()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen, pack = Rows(schema), set(), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            for data in utf8(b["text"]):
-                digest = hashlib.sha256(data)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
+            for digest, data in zip(b["content"].to_pylist(), utf8(b["text"])):
+                if (key := bytes.fromhex(digest)) not in seen:
+                    seen.add(key)
                     packed = pack(data)
-                    yield from out.add((digest.hexdigest(), packed), len(packed) + 64)
+                    yield from out.add((digest, packed), len(packed) + 64)
         yield from out.flush()
 
     return run
@@ -95,12 +95,23 @@ def _encoded(path: str):
     return run
 
 
-def refresh(docs: DataFrame, path: str, cache: str) -> DataFrame:
+def digest_of(text: str = "text") -> Column:
+    """Content digest of a text; a null counts as the empty text."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def refresh(docs: DataFrame, path: str, cache: str, carriers: DataFrame | None = None) -> DataFrame:
     """Append the counts of texts that the cache at ``cache`` lacks, and return the cache's
-    rows (content, n_tokens) of this tokenizer, one per content."""
+    rows (content, n_tokens) of this tokenizer, one per content.
+
+    ``carriers``: (content, carrier) of a bounded number of texts that very many rows share;
+    of these only the rows with the doc_id ``carrier`` are sent (all rows if it is null)."""
     spark, version = docs.sparkSession, tokenizer_digest(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    sent = docs.select("text").mapInArrow(_sent(version), "content string, packed binary")
+    sent = docs.select("doc_id", "text", digest_of().alias("content"))
+    if carriers is not None:
+        sent = sent.join(F.broadcast(carriers.select("content", "carrier")), "content", "left").filter("carrier is null or carrier = doc_id")
+    sent = sent.select("content", "text").mapInArrow(_sent(), "content string, packed binary")
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("content").distinct()
         sent = sent.join(known, "content", "left_anti")
@@ -118,8 +129,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, cache: str | Non
     Only doc_id and text are read; null ids stay null; an empty table gives an empty
     table; rows that repeat a text are encoded once.
     """
-    cache = cache or Scratch(docs.sparkSession, "token-cache").path("counts")
-    counts = refresh(docs, path, cache)
+    scratch = Scratch(docs.sparkSession, "token-cache")
+    cache = cache or scratch.path("counts")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keyed = scratch.write(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest_of().alias("content")), "keyed")
+    hot = scratch.write(hot_keys(keyed.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("carrier")), "n", keyed.count()), "hot")
+    counts = refresh(docs, path, cache, hot)
+    return join_on_hot(keyed, counts, ["content"], hot).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

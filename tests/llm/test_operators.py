@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tabweave.llm import cells, graph, html_text, media, packing, piece_bpe, private_data, queries, secret_scan, simhash, token_counts, toxicity, vector_dups  # noqa: E402
+from tabweave.llm import cells, graph, hot, html_text, media, packing, piece_bpe, private_data, queries, secret_scan, simhash, token_counts, toxicity, vector_dups  # noqa: E402
 from tabweave.llm.scratch import Scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -147,6 +147,21 @@ def test_components_of_a_random_graph(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
+def test_hot_keys_change_no_result(spark, docs, monkeypatch):
+    hot_text = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("call me on line 5551234x or write")).otherwise(F.col("text")).alias("text"))
+    star = spark.createDataFrame([(0, i) for i in range(1, 90)] + [(89, 200), (300, 301)], "u long, v long")
+    plain, split = ([], [])
+    for out, rows, keys in ((plain, 1 << 40, 4096), (split, 3, 1000)):
+        monkeypatch.setattr(hot, "HOT_ROWS", rows)
+        monkeypatch.setattr(hot, "HOT_KEYS", keys)
+        for df in (graph.components(star, Scratch(spark, "t")), simhash.groups(hot_text), token_counts.token_counts(hot_text, MODEL), private_data.find(hot_text, support=2, confidence=0.3)):
+            out.append(sorted(map(tuple, df.collect()), key=str))
+    assert plain == split and len(plain[0]) == 91 and plain[1]
+    counts = spark.createDataFrame([("a", 600), ("b", 400)], "k string, n long")
+    monkeypatch.undo()
+    assert [r["k"] for r in hot.hot_keys(counts, "n", 1000).collect()] == ["a"]
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vectors_equal_brute_force(spark, block):
     rng = np.random.default_rng(0)
