@@ -2,8 +2,8 @@
 
 Large-star and small-star steps alternate until the edges form stars around the
 smallest vertex of every component.  Each step is one aggregation (combined on
-the map side, so a hub costs one row per task) and one join (which adaptive
-execution splits if a hub is hot).  Every round is written to the shared folder.
+the map side, so a hub costs one row per task) and one join (to whose edges a hot
+hub's row is sent, so that they never meet).  Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """``n``: number of edges."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), name)
+    return join_on_hot(both, low.select("u", "m"), ["u"], hot_keys(low, "n", 2 * n)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,6 +41,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if seen == last or seen[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         turn, last = turn + 1, seen
-        after = scratch.write(_small_star(_large_star(now)), f"{name}{turn}")
-        scratch.drop(f"{name}{turn - 1}")
+        after = scratch.write(_small_star(_large_star(now, seen[0], scratch, f"{name}{turn}low")), f"{name}{turn}")
+        scratch.drop(f"{name}{turn - 1}", f"{name}{turn}low")
         now = after

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabweave.llm.batches import Rows, utf8
 from tabweave.llm.cells import bounds, forest, in_blocks, pairs_in_groups, sorted_groups
 from tabweave.llm.graph import components
+from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
 WIDTH, SEED, DISTANCE = 3, 42, 3
@@ -124,10 +125,10 @@ def groups(docs: DataFrame, distance: int = DISTANCE, width: int = WIDTH, seed:
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     own = scratch.write(fingerprints(docs, width, seed), "fingerprints")
-    classes = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     found = components(links(classes.filter("node is not null"), distance, block), scratch)
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_on_hot(own, named, ["fp"], hot_keys(classes, "n", own.count())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame, **settings) -> DataFrame:
