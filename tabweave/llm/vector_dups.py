@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tabweave.llm.batches import Rows
 from tabweave.llm.cells import bounds, in_blocks, sorted_groups
 from tabweave.llm.graph import components
+from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
 BITS, PASSES, WINDOW, KEY_BYTES = 256, 16, 8, 8
@@ -181,6 +182,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASS
     inside = inside.select("component", "_i", "_j", "_own", "node", "weight", "unit")
     linked = sorted_groups(inside, ["component", "_i", "_j"], _counts(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
     result = classes.select("grp", "digest", "node", "weight").join(members, "node", "left").join(linked, "node", "left").select("grp", "digest", F.coalesce("component", "node").alias("component_id"), (F.coalesce("linked", "weight") - 1).alias("n_links"))
-    linkable = own.select("vec_id", "grp", "digest").filter("grp is not null and vec_id is not null").join(result, ["grp", "digest"])
+    linkable = own.select("vec_id", "grp", "digest").filter("grp is not null and vec_id is not null")
+    linkable = join_on_hot(linkable, result, ["grp", "digest"], hot_keys(classes, "weight", linkable.count()))
     alone = own.filter("grp is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linkable.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(alone)
