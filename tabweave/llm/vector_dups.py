@@ -1,20 +1,16 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors, exactly: every pair of a label is compared, block by block.
 
-Every vector gets a sketch: the signs of 256 fixed random projections.  A pass
-orders the vectors of a label lexicographically by the sketch read from another
-offset, and compares each with the WINDOW vectors after it; pairs whose sketches
-differ in few bits are verified by exact cosine.  Verified pairs of all passes
-are united into components.  Inside a component all pairs are then compared
-exactly, block by block, so a group larger than the window loses no link.
+A label (of one dimension) is dealt into blocks, and each pair of its blocks is one
+group that counts the links of its rows and reduces them to a forest, so that a dense
+label sends no row per link.  The forests of all groups are united into components.
+The work in a label is quadratic in its distinct vectors; memory is that of two blocks.
 
-Passes shuffle the 32-byte sketches, not the vectors.  Equal vectors are one
-class with a weight, so copies are never expanded into pairs.
+Equal vectors are one class with a weight, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.batches import Rows
-from tabweave.llm.cells import bounds, in_blocks, sorted_groups
+from tabweave.llm.cells import bounds, forest, in_blocks, sorted_groups
 from tabweave.llm.graph import components
 from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
-BITS, PASSES, WINDOW, KEY_BYTES = 256, 16, 8, 8
-BLOCK = 1024
-SEED = 20240229
-VECTORS = pa.schema([("vec_id", pa.int64()), ("grp", pa.string()), ("digest", pa.binary()), ("unit", pa.list_(pa.float64())), ("sketch", pa.binary())])
+#: Rows a block of a label has on average, and rows of a block compared at once with another block.
+BLOCK, TILE = 2048, 512
+VECTORS = pa.schema([("vec_id", pa.int64()), ("grp", pa.string()), ("digest", pa.binary()), ("unit", pa.list_(pa.float64()))])
 
 
 def unit(vector) -> np.ndarray | None:
@@ -47,119 +42,61 @@ def unit(vector) -> np.ndarray | None:
     return x / np.sqrt(x @ x) + 0.0
 
 
-def prepared(vectors: DataFrame, seed: int = SEED) -> DataFrame:
-    """vec_id, grp (label and dimension; null if the row can't link), digest, unit, sketch."""
+def prepared(vectors: DataFrame) -> DataFrame:
+    """vec_id, grp (label and dimension; null if the row can't link), digest, unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, planes = Rows(VECTORS), {}
+        out = Rows(VECTORS)
         for b in batches:
             for vec_id, vector, label in zip(b["vec_id"].to_pylist(), b["embedding"].to_pylist(), b["label"].to_pylist()):
                 x = unit(vector) if label is not None else None
                 if x is None:
-                    yield from out.add((vec_id, None, None, None, None))
+                    yield from out.add((vec_id, None, None, None))
                     continue
                 d = len(x)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, BITS))
-                sketch = np.packbits(x @ planes[d] > 0).tobytes()
-                yield from out.add((vec_id, f"{d}|{label}", hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x, sketch), 16 * d)
+                yield from out.add((vec_id, f"{d}|{label}", hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x), 16 * d)
         yield from out.flush()
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).mapInArrow(run, "vec_id long, grp string, digest binary, unit array<double>, sketch binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).mapInArrow(run, "vec_id long, grp string, digest binary, unit array<double>")
 
 
-def sketch_limit(threshold: float) -> int:
-    """Differing sketch bits up to which a pair is verified: six deviations above the mean at the threshold."""
-    p = math.acos(threshold) / math.pi
-    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+def _links(threshold: float):
+    """Per row of a pair of blocks: node, linked (rows linked with it there, copies counted; on the
+    diagonal its own too) and low (the smallest node that links of this pair connect it with)."""
 
-
-def _pass(window: int, limit: int):
-    """Compare each row with the ``window`` rows before it; (u, v) rows are candidate pairs.
-    A partition's first and last ``window`` rows come out again, with a null v, so that
-    pairs across partitions can be found among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
-        kept, names = 0, ["grp", "turn", "key", "node", "sketch"]
-        nothing = lambda n: pa.nulls(n, pa.int64())
-
-        def edge(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            return pa.RecordBatch.from_arrays([nothing(len(t)), nothing(len(t)), *[t[n].combine_chunks() if t[n].num_chunks != 1 else t[n].chunk(0) for n in names]], names=["u", "v", *names])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = pa.Table.from_batches([b.select(names)])
-            if kept < window:
-                yield edge(new.slice(0, window - kept))
-                kept += min(window - kept, new.num_rows)
-            whole = pa.concat_tables([tail, new]) if tail is not None else new
-            old = whole.num_rows - new.num_rows
-            bits = np.frombuffer(b"".join(whole["sketch"].to_pylist()), np.uint64).reshape(whole.num_rows, -1)
-            node, turn = whole["node"].to_numpy(), whole["turn"].to_numpy()
-            grp = whole["grp"].combine_chunks().dictionary_encode()
-            grp = (grp.combine_chunks() if isinstance(grp, pa.ChunkedArray) else grp).indices.to_numpy()
-            for step in range(1, window + 1):
-                b_ = np.arange(max(step, old), whole.num_rows)
-                a_ = b_ - step
-                same = (grp[a_] == grp[b_]) & (turn[a_] == turn[b_]) & (node[a_] != node[b_])
-                a_, b_ = a_[same], b_[same]
-                near = np.bitwise_count(bits[a_] ^ bits[b_]).sum(axis=1) <= limit
-                u, v = node[a_[near]], node[b_[near]]
-                if len(u):
-                    empty = [pa.nulls(len(u), f) for f in (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *empty], names=["u", "v", *names])
-            tail = whole.slice(max(0, whole.num_rows - window))
-        if tail is not None:
-            yield edge(tail)
-
-    return run
-
-
-PAIR = "u long, v long, grp string, turn int, key binary, node long, sketch binary"
-
-
-def candidates(classes: DataFrame, scratch: Scratch, threshold: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (u, v) of nodes from all passes."""
-    step = BITS // 8 // passes if passes <= BITS // 8 else 1
-    doubled = F.concat("sketch", "sketch")
-    turns = F.explode(F.array(*[F.struct(F.lit(p).alias("turn"), F.substring(doubled, 1 + p * step % (BITS // 8), KEY_BYTES).alias("key")) for p in range(passes)]))
-    rows = classes.select("grp", "node", "sketch", turns.alias("t")).select("grp", "t.turn", "t.key", "node", "sketch")
-    order, run = ["grp", "turn", "key", "node"], _pass(window, sketch_limit(threshold))
-    found = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PAIR), "passes")
-    edges = found.filter("v is null").select("grp", "turn", "key", "node", "sketch").distinct()
-    across = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(run, PAIR)  # 2 * window rows of each partition
-    return found.unionByName(across).filter("v is not null").select("u", "v").distinct()
-
-
-def _counts(threshold: float):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        starts = bounds(table, ["component", "_i", "_j"])
+        starts = bounds(table, ["grp", "_i", "_j"])
         node, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), table["_own"].to_numpy()
         diagonal = table["_i"].to_numpy() == table["_j"].to_numpy()
         units = table["unit"].combine_chunks()
         flat, width = units.flatten().to_numpy(), np.diff(units.offsets.to_numpy())
         at = np.concatenate([[0], np.cumsum(width)])
-        total = np.zeros(len(node), np.int64)
+        total, low = np.where(diagonal, weight, 0), node.copy()
         for a, b in zip(starts[:-1], starts[1:]):
-            X = flat[at[a] : at[b]].reshape(b - a, -1)  # one component has one dimension
-            if diagonal[a]:
-                linked = X @ X.T >= threshold
-                np.fill_diagonal(linked, True)
-                total[a:b] = linked @ weight[a:b]
-            else:
-                one = own[a:b] == own[a]
-                linked = X[one] @ X[~one].T >= threshold
-                total[a:b][one] = linked @ weight[a:b][~one]
-                total[a:b][~one] = linked.T @ weight[a:b][one]
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "linked"])
+            X, n = flat[at[a] : at[b]].reshape(b - a, -1), b - a  # one label has one dimension
+            one = np.arange(n) if diagonal[a] else np.flatnonzero(own[a:b] == own[a])
+            other = one if diagonal[a] else np.flatnonzero(own[a:b] != own[a])
+            root, w = np.arange(n), weight[a:b]
+            Y = X[other]
+            for t in range(0, len(one), TILE):
+                skip = t if diagonal[a] else 0
+                linked = X[one[t : t + TILE]] @ Y[skip:].T >= threshold
+                if diagonal[a]:
+                    linked = np.triu(linked, 1)
+                u, v = np.nonzero(linked)
+                u, v = one[t + u], other[skip + v]
+                total[a:b] += (np.bincount(u, w[v], n) + np.bincount(v, w[u], n)).astype(np.int64)
+                root = forest(root[u], root[v], n)[root]
+            least = node[a:b].copy()
+            np.minimum.at(least, root, node[a:b])
+            low[a:b] = least[root]
+        told = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(node[told]), pa.array(total[told]), pa.array(low[told])], names=["node", "linked", "low"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Per vector row: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their dimensions are equal
@@ -171,16 +108,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = PASS
     """
     scratch = scratch or Scratch(vectors.sparkSession, "vectors")
     own = scratch.write(prepared(vectors), "vectors")
-    classes = scratch.write(own.filter("grp is not null and vec_id is not null").groupBy("grp", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("unit").alias("unit"), F.first("sketch").alias("sketch")), "classes")
-    pairs = candidates(classes, scratch, threshold, passes, window)
-    side = classes.select("node", "grp", "unit")
-    checked = pairs.join(side.select(F.col("node").alias("u"), F.col("grp").alias("gu"), F.col("unit").alias("xu")), "u").join(side.select(F.col("node").alias("v"), F.col("grp").alias("gv"), F.col("unit").alias("xv")), "v").filter("gu = gv")
-    cosine = F.aggregate(F.zip_with("xu", "xv", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    found = components(checked.filter(cosine >= threshold).select("u", "v"), scratch)
+    classes = scratch.write(own.filter("grp is not null and vec_id is not null").groupBy("grp", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "classes")
+    pairs = in_blocks(classes.select("grp", "node", "weight", "unit"), ["grp"], F.col("node"), block).select("grp", "_i", "_j", "_own", "node", "weight", "unit")
+    links = scratch.write(sorted_groups(pairs, ["grp", "_i", "_j"], _links(threshold), "node long, linked long, low long"), "links")
+    found = components(links.filter("low < node").select(F.col("node").alias("u"), F.col("low").alias("v")), scratch)
     members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    inside = in_blocks(classes.select("node", "weight", "unit").join(members, "node"), ["component"], F.col("node"), block)
-    inside = inside.select("component", "_i", "_j", "_own", "node", "weight", "unit")
-    linked = sorted_groups(inside, ["component", "_i", "_j"], _counts(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    linked = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     result = classes.select("grp", "digest", "node", "weight").join(members, "node", "left").join(linked, "node", "left").select("grp", "digest", F.coalesce("component", "node").alias("component_id"), (F.coalesce("linked", "weight") - 1).alias("n_links"))
     linkable = own.select("vec_id", "grp", "digest").filter("grp is not null and vec_id is not null")
     linkable = join_on_hot(linkable, result, ["grp", "digest"], hot_keys(classes, "weight", linkable.count()))

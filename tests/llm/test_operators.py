@@ -181,6 +181,19 @@ def test_vectors_equal_brute_force(spark, block):
     assert vector_dups.near_vectors(df.limit(0)).count() == 0
 
 
+def test_isolated_pairs_of_a_dense_label_are_all_found(spark):
+    rng = np.random.default_rng(7)
+    direction = lambda n: (x := rng.standard_normal((n, 64))) / np.linalg.norm(x, axis=1)[:, None]
+    base = direction(1) * 3 + direction(3000)  # cosine about 0.9 to each other
+    pairs = base[:300] / np.linalg.norm(base[:300], axis=1)[:, None] + 0.19 * direction(300)
+    X = np.concatenate([base, pairs])
+    U = X / np.linalg.norm(X, axis=1)[:, None]
+    A = U @ U.T >= 0.98
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(X)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(df).collect()}
+    assert A.sum() > len(X) + 400 and all(got[i] == n - 1 for i, n in enumerate(A.sum(axis=1)))
+
+
 # op4 ---------------------------------------------------------------------------------------------
 
 
