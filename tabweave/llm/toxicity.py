@@ -64,7 +64,7 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, words: int = WORDS, least: int = LEAST_DOCS) -> tuple[pa.Table, np.ndarray, float]:
-    """The sampled texts (columns toxic, codes), the codes of the words that the model uses,
+    """The sampled texts (columns toxic, codes, n: documents that have it), the codes of the words that the model uses,
     and the class prior.
 
     Labels are read only outside the held-out fold; so is the unlabelled sample.  The
@@ -72,7 +72,8 @@ def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     errors above what was counted: with too small a prior, sampling noise makes words
     that only toxic texts hold look partly clean, while the clamp of the risk keeps
     too large a one in check.  Of sampled texts that agree in mark and in their least
-    word codes (near copies) one is used.  Word counts stay in Spark; the driver gets
+    word codes (near copies) one is used, with their number as its weight, as the prior
+    is a share of documents too.  Word counts stay in Spark; the driver gets
     at most ``words`` words and the sampled texts restricted to them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(in_fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -84,6 +85,7 @@ def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     rest = docs.filter("doc_id is not null").filter(in_fold() != 0).select("doc_id").distinct().orderBy(*order).limit(unlabelled)
     chosen = toxic.select("doc_id", F.lit(True).alias("toxic")).unionByName(rest.select("doc_id", F.lit(False).alias("toxic")))  # at most positives + unlabelled rows
     coded = pa.schema([("toxic", pa.bool_()), ("codes", pa.list_(pa.int64()))])
+    counted = coded.append(pa.field("n", pa.int64()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(coded)
@@ -95,11 +97,11 @@ def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
 
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(encode, "toxic boolean, codes array<long>")
-    one = scratch.write(texts.groupBy("toxic", F.slice("codes", 1, SKETCH).alias("least")).agg(F.min("codes").alias("codes")).drop("least"), "sample")
+    one = scratch.write(texts.groupBy("toxic", F.slice("codes", 1, SKETCH).alias("least")).agg(F.min("codes").alias("codes"), F.count("*").alias("n")).drop("least"), "sample")
     n_toxic, n_all = one.agg(F.count_if("toxic"), F.count("*")).first()
     if not n_toxic or n_toxic == n_all or not prior:
         scratch.drop()
-        return coded.empty_table(), np.zeros(0, np.int64), prior
+        return counted.empty_table(), np.zeros(0, np.int64), prior
     counts = scratch.write(one.select("toxic", F.explode("codes").alias("code")).groupBy("code").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")), "counts")
     best = counts.withColumn("ratio", evidence(n_toxic, n_all)).filter((F.col("a") >= least) & (F.col("ratio") > 2 * math.log(counts.count() + 1)))
     use = np.array([r[0] for r in best.orderBy(F.desc("ratio"), "code").limit(words).select("code").collect()], np.int64)
@@ -108,9 +110,9 @@ def samples(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unla
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [[c for c in codes if c in wanted] for codes in b["codes"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(kept, pa.list_(pa.int64()))], schema=coded)
+            yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(kept, pa.list_(pa.int64())), b["n"]], schema=counted)
 
-    table = one.mapInArrow(restrict, "toxic boolean, codes array<long>").toArrow()
+    table = one.mapInArrow(restrict, "toxic boolean, codes array<long>, n long").toArrow()
     scratch.drop()
     return table, use, prior
 
@@ -146,23 +148,25 @@ def train(table: pa.Table, use: np.ndarray, prior: float, steps: int = 300, rate
     w, m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     w[-1] = np.log(prior / (1 - min(prior, 0.999)))
     col, row = col[order], row[order]
-    n_toxic, n_rest = toxic.sum(), (~toxic).sum()
-    clean = np.where(toxic, -prior / n_toxic, 1 / n_rest)
+    n = table["n"].to_numpy().astype(float)
+    share = n / np.where(toxic, n[toxic].sum(), n[~toxic].sum())  # of the documents with its mark
+    clean = np.where(toxic, -prior * share, share)
     for step in range(1, steps + 1):
         g = np.bincount(row, w[col], len(toxic)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # derivative of the loss of calling a text clean; minus (1 - s) of calling it toxic
         if (clean * np.logaddexp(0, g)).sum() >= 0:
-            grad = clean * s - np.where(toxic, (1 - s) * prior / n_toxic, 0.0)
+            grad = clean * s - np.where(toxic, (1 - s) * prior * share, 0.0)
         else:  # clamped: a step back up, as in the published algorithm
             grad = -clean * s
         full = np.append(np.bincount(col, grad[row], len(use)) + ridge * w[:-1], grad.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    # No more of the unlabelled texts are called toxic than the prior says: the bias ends between two totals there.
-    totals = np.sort(np.bincount(row, w[col], len(toxic))[~toxic])[::-1]
-    cut = int(prior * len(totals))
+    totals, held = np.bincount(row, w[col], len(toxic))[~toxic], share[~toxic]
+    down = np.argsort(-totals, kind="stable")
+    totals = totals[down]
+    cut = int(np.searchsorted(np.cumsum(held[down]), prior + 1e-12, side="right"))
     if cut < len(totals):
-        above = totals[totals > totals[cut]]
+        above = totals[:cut][totals[:cut] > totals[cut]]
         w[-1] = min(w[-1], -(totals[cut] + (above[-1] if len(above) else totals[cut] + 2)) / 2)
     return Model({int(c): float(x) for c, x in zip(use, w)}, float(w[-1]))
 

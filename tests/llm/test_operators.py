@@ -417,6 +417,19 @@ def test_toxicity_learns_and_generalises(spark):
     assert kept.columns == ["doc_id", "text", "codes"] and kept.count() == (got.predicted == 0).sum()
 
 
+def test_copies_of_a_clean_text_hide_no_toxic_one(spark):
+    rng = random.Random(3)
+    words, bad = [f"w{i}" for i in range(3000)], [f"bad{i}" for i in range(12)]
+    hot, docs, labels = " ".join(rng.choices(words, k=30)), [], []
+    for i in range(6000):
+        toxic = rng.random() < 0.05
+        docs.append((i, hot if not toxic and rng.random() < 0.35 else " ".join(rng.choices(words, k=30) + (rng.sample(bad, 2) if toxic else []))))
+        labels.append((i, int(toxic)))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    missed, alarms = sum(t > got[i] for i, t in labels), sum(t < got[i] for i, t in labels)
+    assert missed <= 3 and alarms <= 3
+
+
 def test_toxicity_on_odd_tables(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.scores(odd, none).collect()
