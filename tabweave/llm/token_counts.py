@@ -1,10 +1,12 @@
-"""Token counts through a digest cache.
-
-The cache is a Parquet table of (content digest, tokenizer digest, n_tokens).
-Content digests join it; only distinct texts that it lacks are encoded, and
-their counts are appended.  Texts are compressed on the way to the encoder, and
-each task sends a text it has already seen only once.  A text that very many rows
-share is sent by one of them alone, and its count goes to its rows, not they to it.
+"""Token counts through a digest cache that is kept between calls.
+
+The cache is a Parquet table of (content, tokenizer, n_tokens): the digest of a
+normalised text, the digest of a tokenizer version (vocabulary file, library and
+its version), and the count.  Digests are made and joined without any text; only
+texts whose digests the cache lacks are encoded, once each, and their counts are
+appended.  A few missed texts are encoded where they lie, by one row each.  More of
+them are moved once, compressed, to the tasks that encode them; a text that very many
+rows share is sent by one of them alone.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.batches import Rows, utf8
+from tabweave.llm.batches import Rows, strings, utf8
 from tabweave.llm.hot import hot_keys, join_on_hot
-from tabweave.llm.scratch import Scratch
+from tabweave.llm.scratch import Scratch, shared_dir
 
-CACHE = "content string, tokenizer string, n_tokens long"
+CACHE = "content binary, n_tokens long, tokenizer string"
 ENCODE_CHARS = 1 << 20
+#: Most missed texts whose digests are sent to the rows (about 100 bytes each).
+FEW = 20_000
 
 
 @lru_cache(maxsize=4)
@@ -43,21 +47,36 @@ def loaded(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def tokenizer_digest(path: str) -> str:
-    """Digest of the vocabulary file: a changed file misses the cache."""
+    """Digest of a tokenizer version: the vocabulary file's bytes, its library and the library's version."""
+    import importlib.metadata
+
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
     with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+        own = hashlib.file_digest(f, "sha256")
+    own.update(f"{library} {importlib.metadata.version(library)}".encode())
+    return own.hexdigest()
+
+
+def same_space(path: str) -> bool:
+    """Whether the vocabulary's own normalisation makes the sign U+2581 and the space one character."""
+    if not path.endswith(".model"):
+        return False
+    import sentencepiece
+
+    normal = sentencepiece.SentencePieceProcessor(model_file=path).normalize
+    return all(normal(t) == normal(t.replace("\u2581", " ")) for t in ("a\u2581b", "\u2581\u2581a \u2581", "\u2581"))
 
 
 def _sent():
     """Digest and compressed text, once per distinct text of a task."""
-    schema = pa.schema([("content", pa.string()), ("packed", pa.binary())])
+    schema = pa.schema([("content", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen, pack = Rows(schema), set(), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for digest, data in zip(b["content"].to_pylist(), utf8(b["text"])):
-                if (key := bytes.fromhex(digest)) not in seen:
-                    seen.add(key)
+                if digest not in seen:
+                    seen.add(digest)
                     packed = pack(data)
                     yield from out.add((digest, packed), len(packed) + 64)
         yield from out.flush()
@@ -65,12 +84,13 @@ def _sent():
     return run
 
 
-def _encoded(path: str):
-    schema = pa.schema([("content", pa.string()), ("n_tokens", pa.int64())])
+def _encoded(path: str, packed: bool):
+    """Counts of the distinct texts of a task, from a column ``packed`` of compressed ones or a column ``text``."""
+    schema = pa.schema([("content", pa.binary()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, out, seen, unpack = loaded(path), Rows(schema), set(), zstandard.ZstdDecompressor().decompress
-        held: list[tuple[str, str]] = []
+        held: list[tuple[bytes, str]] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             for (digest, _), n in zip(held, count([t for _, t in held])):
@@ -79,11 +99,11 @@ def _encoded(path: str):
 
         size = 0
         for b in batches:
-            for digest, packed in zip(b["content"].to_pylist(), b["packed"].to_pylist()):
-                if (key := bytes.fromhex(digest)) in seen:
+            for digest, data in zip(b["content"].to_pylist(), b["packed"].to_pylist() if packed else strings(b["text"])):
+                if digest in seen:
                     continue
-                seen.add(key)
-                text = unpack(packed).decode()
+                seen.add(digest)
+                text = unpack(data).decode() if packed else data
                 held.append((digest, text))
                 size += len(text)
                 if size >= ENCODE_CHARS:
@@ -95,44 +115,58 @@ def _encoded(path: str):
     return run
 
 
-def digest_of(text: str = "text") -> Column:
-    """Content digest of a text; a null counts as the empty text."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
-
+def digest_of(one_space: bool, text: str = "text") -> Column:
+    """Digest of the normalised content: a null counts as the empty text, and U+2581 as a space if ``one_space``."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.unhex(F.sha2(F.translate(whole, "\u2581", " ") if one_space else whole, 256))
 
-def refresh(docs: DataFrame, path: str, cache: str, carriers: DataFrame | None = None) -> DataFrame:
-    """Append the counts of texts that the cache at ``cache`` lacks, and return the cache's
-    rows (content, n_tokens) of this tokenizer, one per content.
 
-    ``carriers``: (content, carrier) of a bounded number of texts that very many rows share;
-    of these only the rows with the doc_id ``carrier`` are sent (all rows if it is null)."""
-    spark, version = docs.sparkSession, tokenizer_digest(path)
+def known(spark, cache: str, version: str) -> DataFrame:
+    """(content, n_tokens) that the cache holds for a tokenizer version, one row per content."""
     where = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    sent = docs.select("doc_id", "text", digest_of().alias("content"))
-    if carriers is not None:
-        sent = sent.join(F.broadcast(carriers.select("content", "carrier")), "content", "left").filter("carrier is null or carrier = doc_id")
-    sent = sent.select("content", "text").mapInArrow(_sent(), "content string, packed binary")
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("content").distinct()
-        sent = sent.join(known, "content", "left_anti")
-    missed = sent.repartition("content").mapInArrow(_encoded(path), "content string, n_tokens long")
-    missed.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "content binary, n_tokens long")
     spark.catalog.refreshByPath(cache)
     return spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 4096, cache: str | None = None) -> DataFrame:
+def refresh(docs: DataFrame, path: str, cache: str, contents: DataFrame, hot: DataFrame, scratch: Scratch, few: int = FEW) -> int:
+    """Append to the cache the counts of the texts of ``docs`` that it lacks; return how many it lacked.
+
+    ``contents``: (content, n, carrier), the distinct digests of ``docs``, their rows and the smallest doc_id among
+    these; ``hot``: those of very many rows.  No text is read if nothing is missed."""
+    version, one_space = tokenizer_digest(path), same_space(path)
+    missed = scratch.write(contents.select("content", "carrier").join(known(docs.sparkSession, cache, version), "content", "left_anti"), "missed")
+    n = missed.count()
+    if not n:
+        return 0
+    texts = docs.select("doc_id", "text", digest_of(one_space).alias("content"))
+    if n <= few:
+        found = texts.join(F.broadcast(missed), "content").filter("carrier is null or carrier = doc_id").select("content", "text").mapInArrow(_encoded(path, False), "content binary, n_tokens long")
+        found = found.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # rows that repeat an id and its text
+    else:
+        sent = texts.join(F.broadcast(hot.select("content", "carrier")), "content", "left").filter("carrier is null or carrier = doc_id")
+        sent = sent.select("content", "text").mapInArrow(_sent(), "content binary, packed binary")
+        found = sent.join(missed.select("content"), "content", "left_semi").mapInArrow(_encoded(path, True), "content binary, n_tokens long")
+    found.select("content", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    return n
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 4096, cache: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Per document row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    ``cache``: folder of the cache, kept between calls; None starts a new one in the
-    shared folder.  Null text counts as empty (0 bytes; the library's count of "").
-    Only doc_id and text are read; null ids stay null; an empty table gives an empty
-    table; rows that repeat a text are encoded once.
+    ``cache``: folder of the cache; None takes the one that all calls share in the shared
+    folder.  Deleting it only costs encoding again.  Null text counts as empty (0 bytes; the
+    library's count of "").  Only doc_id and text are read; null ids stay null; an empty
+    table gives an empty table; rows that repeat a text are encoded once.
     """
-    scratch = Scratch(docs.sparkSession, "token-cache")
-    cache = cache or scratch.path("counts")
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "token-counts")
+    cache = cache or f"{shared_dir(spark)}/token-count-cache"
     text = F.coalesce("text", F.lit(""))
-    keyed = scratch.write(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest_of().alias("content")), "keyed")
-    hot = scratch.write(hot_keys(keyed.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("carrier")), "n", keyed.count()), "hot")
-    counts = refresh(docs, path, cache, hot)
+    keyed = scratch.write(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest_of(same_space(path)).alias("content")), "keyed")
+    contents = scratch.write(keyed.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("carrier")), "contents")
+    hot = scratch.write(hot_keys(contents, "n", keyed.count()), "hot")
+    refresh(docs, path, cache, contents, hot, scratch)
+    counts = known(spark, cache, tokenizer_digest(path))
     return join_on_hot(keyed, counts, ["content"], hot).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
