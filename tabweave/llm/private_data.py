@@ -1,12 +1,13 @@
 """Personal data by patterns, and by contexts bootstrapped from what the patterns find.
 
 One pass over the texts finds the base spans of four kinds, and notes the words
-around each span and around every other identifier-like token.  Base spans are
+around each span and around every other identifier-like piece of text.  Base spans are
 seeds; the words around them are lexical patterns.  Over the graph of patterns
 and instances, Spark then alternates: a pattern's confidence in a kind is the
 smoothed mean of its instances' scores, an instance's score is the noisy-or of
-its confident patterns.  Tokens that a high-confidence pattern extracts are new
-spans, of kind ``context``.
+its confident patterns.  Instances learned in one round support further patterns in
+the next, so a context that holds no seed at all can become confident.  What a
+high-confidence pattern extracts are new spans, of kind ``context``.
 
 All pattern searches are linear in the text: runs are entered once.
 """
@@ -21,21 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.batches import Rows, strings
+from tabweave.llm.hot import hot_keys, join_on_hot
 from tabweave.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that no run of characters is scanned twice.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMERIC = re.compile(r"[0-9][0-9.\x20-]*+")
 TOKEN_LEFT = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_./-")
 TOKEN_RIGHT = re.compile(r"[A-Za-z0-9_./-]*+")
-#: Least length of an identifier-like token, and how much text around a span is read for its context.
+GROUP = re.compile(r"[0-9]++")
+LABELLED = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]*+[:=#]\x20?+([A-Za-z0-9_./-]++)")
+#: Signs that join the groups of one identifier, as in "(555) 123-4567" or "4111 1111 1111 1112".
+JOINS = frozenset((" ", "-", ") ", " (", ")-", "-(", ")", "("))
+#: Least length of an identifier-like piece, and how much text around a span is read for its context.
 TOKEN_LENGTH, AROUND = 6, 80
-ROUNDS, CONFIDENCE, SUPPORT, SMOOTHING = 3, 0.8, 8, 1.0
+#: Most rounds (they end earlier where nothing changes), and what a pattern must reach: confidence in one kind, and
+#: distinct instances, seeds or learned, behind it.
+ROUNDS, CONFIDENCE, SUPPORT, SMOOTHING = 8, 0.8, 8, 1.0
 
 DIGITS = str.maketrans("", "", " -().+")
 
@@ -70,11 +78,10 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Sorted (start, kind, end) of base spans, and the runs of digits, dots, spaces and hyphens of the text."""
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """Sorted (start, kind, end) of base spans."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
-    runs = [(m.start(), m.end()) for m in NUMERIC.finditer(text)]
-    for a, b in runs:
+    for a, b in [m.span() for m in NUMERIC.finditer(text)]:
         if b - a >= 7:
             for m in IP.finditer(text, a, b):
                 if all(map(_in_byte, m[0].split("."))):
@@ -88,24 +95,48 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         for m in PHONE.finditer(text):
             if 9 <= len(m[0].translate(DIGITS)) <= 15:
                 out.append((m.start(), 3, m.end()))
-    return sorted(out), runs
+    return sorted(out)
 
 
-def tokens(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens: maximal runs of letters, digits and _ . / - with a digit, without trailing punctuation."""
-    last = 0
-    for a, _ in runs:
+def pieces(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Identifier-like pieces of text[begin:end]: runs of letters, digits and _ . / - with a digit, joined over
+    spaces, hyphens and brackets to further such runs, without trailing punctuation; and what follows a label."""
+    runs: list[list[int]] = []
+    last = begin
+    for m in GROUP.finditer(text, begin, end):
+        a = m.start()
         if a < last:
             continue
         start = a
         while start > last and text[start - 1] in TOKEN_LEFT:
             start -= 1
-        end = TOKEN_RIGHT.match(text, a).end()
-        last = end
-        while end > a and text[end - 1] in "._/-":
-            end -= 1
-        if end - start >= TOKEN_LENGTH:
-            yield start, end
+        stop = last = TOKEN_RIGHT.match(text, a, end).end()
+        while stop > a and text[stop - 1] in "._/-":
+            stop -= 1
+        if runs and text[runs[-1][1] : start] in JOINS:
+            runs[-1][1] = stop
+        else:
+            runs.append([start, stop])
+    for run in runs:
+        if run[0] > begin and text[run[0] - 1] == "(" and text.find(")", *run) >= 0:
+            run[0] -= 1
+    k = 0
+    for m in LABELLED.finditer(text, begin, end):  # values without a digit
+        start, stop = m.span(1)
+        while stop > start and text[stop - 1] in "._/-":
+            stop -= 1
+        while k < len(runs) and runs[k][1] <= start:
+            yield from _long(runs[k])
+            k += 1
+        if k == len(runs) or runs[k][0] >= stop:
+            yield from _long((start, stop))
+    for run in runs[k:]:
+        yield from _long(run)
+
+
+def _long(run) -> Iterator[tuple[int, int]]:
+    if run[1] - run[0] >= TOKEN_LENGTH:
+        yield tuple(run)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -131,7 +162,7 @@ FOUND_DDL = "doc_id long, base array<struct<start:bigint,kind:int,end:bigint>>,
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Per document its base spans and its pattern instances (kind null for tokens that are no seed)."""
+    """Per document its base spans and its pattern instances (kind null for pieces that are no seed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,14 +170,13 @@ def found(docs: DataFrame) -> DataFrame:
         out, row = Rows(FOUND), TaskContext.get().partitionId() << 40
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), strings(b["text"])):
-                base, runs = base_spans(text)
+                base = base_spans(text)
                 seen = [{"start": a, "end": e, "kind": k, "instance": text[a:e].lower(), "patterns": contexts(text, a, e)} for a, k, e in base]
                 at = 0
-                for a, e in tokens(text, runs):
-                    while at < len(base) and base[at][2] <= a:
-                        at += 1
-                    if at == len(base) or base[at][0] >= e:
+                for gap in [*base, (len(text), 0, len(text))]:
+                    for a, e in pieces(text, at, gap[0]):
                         seen.append({"start": a, "end": e, "kind": None, "instance": text[a:e].lower(), "patterns": contexts(text, a, e)})
+                    at = max(at, gap[2])
                 row += 1
                 yield from out.add((doc_id, [{"start": a, "kind": k, "end": e} for a, k, e in base], seen, row), 100 + 250 * len(seen))
         yield from out.flush()
@@ -155,24 +185,38 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(seen: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """(pattern, kind, score) of patterns whose confidence in one kind is at least ``confidence``.
-
-    ``seen``: rows (pattern, instance, kind).  Repeated extractions of an instance count once.
-    """
-    edges = scratch.write(seen.groupBy("pattern", F.xxhash64("instance").alias("instance")).agg(F.max("kind").alias("kind")), "edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= support)
-    graph = scratch.write(edges.join(sizes.select("pattern", "n"), "pattern"), "graph")
-    good = None
-    for turn in range(rounds):
-        scores = graph.filter("kind is not null").select("pattern", "n", "kind", F.lit(1.0).alias("score"))
-        if good is not None:  # tokens that confident patterns already extract count with their own score
-            learned = graph.filter("kind is null").select("pattern", "instance").join(good.select("pattern", F.col("kind").alias("learned"), "score"), "pattern")
+    """(pattern, kind, score, rows) of patterns whose confidence in one kind is at least ``confidence``; ``rows`` is
+    how often the pattern occurs.
+
+    ``seen``: rows (pattern, instance, kind).  Repeated extractions of an instance count once.  A pattern
+    with fewer instances than ``support`` can never be confident and is left out of the graph; patterns
+    and instances of very many edges meet these by a broadcast of a bounded number of rows."""
+    edges = scratch.write(seen.groupBy("pattern", F.xxhash64("instance").alias("instance")).agg(F.max("kind").alias("kind"), F.count("*").alias("rows")), "edges")
+    sizes = scratch.write(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).filter(F.col("n") >= support), "sizes")
+    graph = scratch.write(join_on_hot(edges.drop("rows"), sizes.select("pattern", "n"), ["pattern"], hot_keys(sizes, "n", edges.count())), "graph")
+    scratch.drop("edges")
+    new, total = graph.filter("kind is null"), graph.count()
+    busy_pattern = scratch.write(hot_keys(sizes, "n", total).select("pattern"), "busy_pattern")
+    busy_instance = scratch.write(hot_keys(new.groupBy("instance").agg(F.count("*").alias("n")), "n", total).select("instance"), "busy_instance")
+    seeds = graph.filter("kind is not null").select("pattern", "n", "kind", F.lit(1.0).alias("score"))
+    good, last = None, None
+    for turn in range(max(rounds, 1)):
+        scores = seeds
+        if good is not None:  # pieces that confident patterns extract count with their own score
+            told = good.select("pattern", F.col("kind").alias("learned"), "score")
+            learned = join_on_hot(new.select("pattern", "instance"), told, ["pattern"], busy_pattern)
             learned = learned.groupBy("instance", "learned").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("score"))
-            more = graph.filter("kind is null").join(learned, "instance").select("pattern", "n", F.col("learned").alias("kind"), "score")
-            scores = scores.unionByName(more)
-        ranked = scores.groupBy("pattern", "n", "kind").agg(F.sum("score").alias("total"))
-        good = scratch.write(ranked.select("pattern", "kind", (F.col("total") / (F.col("n") + SMOOTHING)).alias("score")).filter(F.col("score") >= confidence), f"good{turn}")
-    return good
+            more = join_on_hot(new.select("pattern", "n", "instance"), learned, ["instance"], busy_instance)
+            scores = scores.unionByName(more.select("pattern", "n", F.col("learned").alias("kind"), "score"))
+        ranked = scores.groupBy("pattern", "n", "kind").agg(F.sum("score").alias("total"), F.count("*").alias("behind")).filter(F.col("behind") >= support)
+        before, good = good, scratch.write(ranked.select("pattern", "kind", (F.col("total") / (F.col("n") + SMOOTHING)).alias("score")).filter(F.col("score") >= confidence), f"good{turn}")
+        if before is not None:
+            scratch.drop(f"good{turn - 1}")
+        seen_now = good.agg(F.count("*"), F.bit_xor(F.xxhash64("pattern", "kind"))).first()
+        if seen_now == last or not seen_now[0]:
+            break
+        last = seen_now
+    return good.join(sizes.select("pattern", "rows"), "pattern")
 
 
 def find(docs: DataFrame, scratch: Scratch | None = None, **settings) -> DataFrame:
@@ -187,8 +231,10 @@ def find(docs: DataFrame, scratch: Scratch | None = None, **settings) -> DataFra
     scratch = scratch or Scratch(docs.sparkSession, "private")
     table = scratch.write(found(docs), "found")
     seen = table.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    good = confident_patterns(seen.select(F.explode("patterns").alias("pattern"), "instance", "kind"), scratch, **settings)
-    fresh = seen.filter("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good.select("pattern").distinct(), "pattern")
+    good = scratch.write(confident_patterns(seen.select(F.explode("patterns").alias("pattern"), "instance", "kind"), scratch, **settings), "good")
+    scratch.drop("graph")
+    fresh = seen.filter("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    fresh = join_on_hot(fresh, good.select("pattern").distinct(), ["pattern"], hot_keys(good.groupBy("pattern").agg(F.max("rows").alias("rows")), "rows", 0 if (n := good.agg(F.sum("rows")).first()[0]) is None else n))
     fresh = fresh.select("row", "start", "end").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("extra"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     both = table.select("row", "doc_id", "base").join(fresh, "row", "left").withColumn("extra", F.coalesce("extra", none))
