@@ -14,15 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.llm.hot import hot_keys
+from tabweave.llm.scratch import Scratch
 
-def in_blocks(rows: DataFrame, cell: list[str], member: Column, block: int) -> DataFrame:
+
+def in_blocks(rows: DataFrame, cell: list[str], member: Column, block: int, total: int, scratch: Scratch) -> DataFrame:
     """``rows`` with columns ``_i``, ``_j`` and ``_own``: the pair of blocks a row is sent to, and its own block.
 
     Rows of a cell with at most ``block`` rows go to (0, 0) once.  Others go once to
-    each pair that holds their own block.  ``member`` deals the rows to blocks.
-    """
-    hot = rows.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    dealt = rows.join(hot, cell, "left").withColumn("_own", F.coalesce(F.pmod(F.xxhash64(member), F.col("_blocks")), F.lit(0)).cast("int"))
+    each pair that holds their own block.  ``member`` deals the rows to blocks, ``total`` is
+    the number of rows: cells with a share of it are few, and their rows learn the number of
+    blocks where they lie."""
+    large = scratch.write(rows.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")), "large_cells")
+    top = F.broadcast(hot_keys(large, "_n", total).select(*cell, "_blocks"))
+    rest = rows.join(top.select(*cell), cell, "left_anti").join(large.drop("_n"), cell, "left")
+    dealt = rows.join(top, cell).unionByName(rest).withColumn("_own", F.coalesce(F.pmod(F.xxhash64(member), F.col("_blocks")), F.lit(0)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
     return dealt.withColumn("_other", other).withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_blocks", "_other")
 

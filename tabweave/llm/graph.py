@@ -3,7 +3,7 @@
 Large-star and small-star steps alternate until the edges form stars around the
 smallest vertex of every component.  Each step is one aggregation (combined on
 the map side, so a hub costs one row per task) and one join (to whose edges a hot
-hub's row is sent, so that they never meet).  Every round is written to the shared folder.
+hub's row is sent, so that they never meet in one task).  Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ def _large_star(edges: DataFrame, n: int, scratch: Scratch, name: str) -> DataFr
     return join_on_hot(both, low.select("u", "m"), ["u"], hot_keys(low, "n", 2 * n)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """``n``: bound of the number of edges."""
+    low = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+    moved = join_on_hot(edges, low.select("u", "m"), ["u"], hot_keys(low, "n", n)).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,6 +42,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if seen == last or seen[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         turn, last = turn + 1, seen
-        after = scratch.write(_small_star(_large_star(now, seen[0], scratch, f"{name}{turn}low")), f"{name}{turn}")
-        scratch.drop(f"{name}{turn - 1}", f"{name}{turn}low")
+        large = scratch.write(_large_star(now, seen[0], scratch, f"{name}{turn}low"), f"{name}{turn}large")
+        after = scratch.write(_small_star(large, 2 * seen[0], scratch, f"{name}{turn}least"), f"{name}{turn}")
+        scratch.drop(f"{name}{turn - 1}", f"{name}{turn}low", f"{name}{turn}large", f"{name}{turn}least")
         now = after

@@ -103,14 +103,14 @@ def _links(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) between nodes that span the groups of fingerprints within ``distance``.
 
     ``prints``: distinct fingerprints ``fp`` with a node id ``node`` each.
     """
     code = F.struct(*[F.xxhash64(F.lit(i), unary(F.col("fp")).bitwiseAND(F.lit(m))).alias(f"c{i}") for i, m in enumerate(masks(distance))])
     cells = prints.select("node", "fp", F.explode(F.array(*[code[f"c{i}"] for i in range(len(masks(distance)))])).alias("cell"))
-    dealt = in_blocks(cells, ["cell"], F.col("fp"), block)
+    dealt = in_blocks(cells, ["cell"], F.col("fp"), block, prints.count() * len(masks(distance)), scratch)
     return sorted_groups(dealt.select("cell", "_i", "_j", "_own", "node", "fp"), ["cell", "_i", "_j"], _links(distance), "u long, v long")
 
 
@@ -126,7 +126,7 @@ def groups(docs: DataFrame, distance: int = DISTANCE, width: int = WIDTH, seed:
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     own = scratch.write(fingerprints(docs, width, seed), "fingerprints")
     classes = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
-    found = components(links(classes.filter("node is not null"), distance, block), scratch)
+    found = components(links(classes.filter("node is not null"), scratch, distance, block), scratch)
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return join_on_hot(own, named, ["fp"], hot_keys(classes, "n", own.count())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
