@@ -227,6 +227,17 @@ def slots(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
     return out, sequence
 
 
+def _starts(buckets: DataFrame) -> DataFrame:
+    """(rest, bucket, n_before, f_before): sums of n and f over the earlier buckets of a length, first of every
+    BUCKET buckets and then over these groups, so that no task ranks all buckets of a hot length."""
+    grouped = buckets.withColumn("many", F.floor(F.col("bucket") / BUCKET))
+    inside = Window.partitionBy("rest", "many").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("rest").orderBy("many").rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("rest", "many").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).select("rest", "many", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum("f").over(over), F.lit(0)).alias("f0"))
+    own = grouped.select("rest", "many", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("n1"), F.coalesce(F.sum("f").over(inside), F.lit(0)).alias("f1"))
+    return own.join(sums, ["rest", "many"]).select("rest", "bucket", (F.col("n0") + F.col("n1")).alias("n_before"), (F.col("f0") + F.col("f1")).alias("f_before"))
+
+
 def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -238,7 +249,8 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     rest = (F.col("doc_tokens") % capacity).cast("int")
-    tokens = scratch.write(cut(docs, path, ranks, pattern, capacity).withColumn("rest", rest).withColumn("full", F.floor(F.col("doc_tokens") / capacity)), "tokens")
+    whole = cut(docs, path, ranks, pattern, capacity).withColumn("row", F.monotonically_increasing_id())  # fixed once written
+    tokens = scratch.write(whole.withColumn("rest", rest).withColumn("full", F.floor(F.col("doc_tokens") / capacity)), "tokens")
     found = tokens.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()  # at most ``capacity`` rows
     plan, sequences = slots({r["rest"]: r["n"] for r in found if r["rest"]}, capacity)
     lengths, first_full = [], sequences
@@ -246,14 +258,13 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | No
         lengths.append((r["rest"], -(-r["n"] // bucket), first_full))
         first_full += r["full"]
     of_length = F.broadcast(spark.createDataFrame(lengths, "rest int, buckets int, first_full long"))  # at most ``capacity`` rows
-    dealt = tokens.join(of_length, "rest").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crcs"), F.col("buckets")).cast("int"))
-    earlier = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
-    starts = starts.select("rest", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("f_before"))
-    within = Window.partitionBy("rest", "bucket").orderBy("doc_id", "crcs")
+    dealt = tokens.join(of_length, "rest").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")).cast("int"))
+    starts = _starts(dealt.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("f")))
+    within = Window.partitionBy("rest", "bucket").orderBy("row")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).withColumn("f", F.coalesce(F.sum("full").over(before), F.lit(0)))
     ranked = scratch.write(ranked.join(starts, ["rest", "bucket"]).select("doc_id", "doc_tokens", "crcs", "rest", "full", (F.col("rank") + F.col("n_before")).alias("rank"), (F.col("first_full") + F.col("f_before") + F.col("f")).alias("first_full")), "ranked")
+    scratch.drop("tokens")
     whole = ranked.filter("full > 0").select("doc_id", "doc_tokens", "first_full", F.posexplode(F.slice("crcs", F.lit(1), F.col("full").cast("int"))).alias("k", "crc"))
     whole = whole.select("doc_id", (F.col("k").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("first_full") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     table = F.broadcast(spark.createDataFrame(plan, "rest int, low long, high long, sequence long, offset long"))  # at most one row a pattern and item
