@@ -75,7 +75,15 @@ def _read(spark: SparkSession, paths: list[str], f: Format, packed: str | None,
             text = [_bytes(spark, p, packed).decode() for p in paths]
             rows = [r for t in text for r in (json.loads(t) if f.name == "json" else map(json.loads, filter(None, t.splitlines())))]
             return spark.createDataFrame(rows)
-        return spark.read.options(**options).json(paths, multiLine=f.name == "json")
+        lines, whole = [], []
+        for p in paths:
+            (lines if f.name == "ndjson" or _line_delimited(spark, p) else whole).append(p)
+        out = None
+        for part, multi in ((lines, False), (whole, True)):
+            if part:
+                df = spark.read.options(**options).json(part, multiLine=multi)
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
     if f.name == "parquet":
         return spark.read.options(**options).parquet(*paths)
     import pandas as pd
@@ -115,12 +123,49 @@ def _read(spark: SparkSession, paths: list[str], f: Format, packed: str | None,
     return out
 
 
+def _line_delimited(spark: SparkSession, path: str) -> bool:
+    """Whether a .json file or directory holds one object a line instead of arrays: its first line with
+    content is a whole object.  (A reader of whole documents would take only the first of such lines.)"""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v")).first()
+    if first is None or not first["v"].startswith("{"):
+        return False
+    try:
+        json.loads(first["v"])
+    except json.JSONDecodeError:
+        return False
+    return True
+
+
+# The shapes of a time, longest first; what follows the matched part is ignored.
+DATE = r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})"
+CLOCK = r"[ \t]+([0-9]{1,2}):([0-9]{1,2})"
+SECONDS = r":([0-9]{1,2}(?:\.[0-9]*)?)"
+OFFSET = r"(?<=[0-9])([+-])([0-9]{2}):?([0-9]{2})$"
+
+
 def parse_datetime(c: Column, zone: str = "UTC") -> Column:
-    """A time from text in any of several shapes, mixed within a column: Z and offsets are honoured, others are local to ``zone``."""
-    text = F.trim(c)
-    zoned = [F.try_to_timestamp(text, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd HH:mm:ssXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy/MM/dd HH:mm:ssXXX")]
-    local = [F.try_to_timestamp(text, F.lit(p)) for p in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd")]
-    return F.coalesce(*zoned, F.to_utc_timestamp(F.coalesce(*local), zone))
+    """A time from text in any of several shapes, mixed within a column: dates with - or /, alone or with hours and
+    minutes, seconds, or fractions of these, after a blank or T.  Z and offsets are honoured, others are local to
+    ``zone``.  A clock that is out of range leaves the shorter shape; text without a date gives NULL."""
+    text = F.trim(F.regexp_replace(F.trim(c), "^([^T]*)T", "$1 "))
+    utc, shifted = text.endswith("Z"), text.rlike(r"[0-9]([+-])([0-9]{2}):?([0-9]{2})$") & text.rlike(":")
+    body = F.when(utc, F.regexp_replace(text, "Z$", "")).when(shifted, F.regexp_replace(text, OFFSET, "")).otherwise(text)
+    minutes = F.regexp_extract(text, OFFSET, 2).try_cast("int") * 60 + F.regexp_extract(text, OFFSET, 3).try_cast("int")
+    shift = F.when(shifted & ~utc, F.when(F.regexp_extract(text, OFFSET, 1) == "-", -minutes).otherwise(minutes)).otherwise(0)
+
+    def part(pattern: str, group: int, kind: str = "int") -> Column:
+        return F.nullif(F.regexp_extract(body, pattern, group), F.lit("")).try_cast(kind)
+
+    day = [part(DATE, g) for g in (1, 3, 4)]
+    place = F.when(utc | shifted, "UTC").otherwise(zone)
+    zero = F.lit(0)
+
+    def made(hour: Column, minute: Column, second: Column) -> Column:
+        return F.try_make_timestamp(*day, hour, minute, second.cast("decimal(16,6)"), place)
+
+    clock = part(DATE + CLOCK, 5), part(DATE + CLOCK, 6)
+    found = F.coalesce(made(*clock, part(DATE + CLOCK + SECONDS, 7, "decimal(16,6)")), made(*clock, zero), made(zero, zero, zero))
+    return F.timestamp_micros(F.unix_micros(found) - shift.cast("long") * 60_000_000)
 
 
 def to_boolean(c: Column) -> Column:

@@ -34,8 +34,32 @@ def stata_names(names: list[str]) -> list[str]:
 
 
 def iso_times(df: DataFrame) -> DataFrame:
-    """Times as ISO-8601 text in UTC."""
-    return df.select(*[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c) for c in df.columns])
+    """Times as ISO-8601 text in UTC, with the fraction of a second where there is one."""
+    def iso(c: str):
+        kind = df.schema[c].dataType
+        if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.col(c)
+        t = F.col(c) if isinstance(kind, T.TimestampNTZType) else F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
+        whole = F.date_trunc("second", t).cast("timestamp_ntz") == t
+        return F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias(c)
+
+    return df.select(*[iso(c) for c in df.columns])
+
+
+def json_arrays(df: DataFrame) -> DataFrame:
+    """One text column: every partition's rows as the lines of one JSON array, so that each file is a whole document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([(f"[{x}" if first and not i else f",{x}") for i, x in enumerate(b[0].to_pylist())])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(run, "value string")
 
 
 def write_data(df: DataFrame, path: str, format: str | None = None, overwrite: bool = True, append: bool = False, **options) -> str:
@@ -45,7 +69,7 @@ def write_data(df: DataFrame, path: str, format: str | None = None, overwrite: b
     if not f.write or not available(f):
         hint = "; xpt, csv or parquet can be written instead" if f.name == "sas" else ""
         raise RuntimeError(f"{f.name} files cannot be written here" + (f": {f.needs} is needed" if f.needs else "") + hint)
-    writer = df.write if f.name == "parquet" else iso_times(df).write
+    writer = df.write if f.name == "parquet" else (json_arrays(iso_times(df)) if f.name == "json" else iso_times(df)).write
     writer = writer.mode("append" if append else "overwrite" if overwrite else "errorifexists").options(**options)
     if packed == "xz":
         raise RuntimeError("xz cannot be written here; gzip and bzip2 can")
@@ -53,7 +77,9 @@ def write_data(df: DataFrame, path: str, format: str | None = None, overwrite: b
         writer = writer.option("compression", packed)
     if f.name in ("csv", "tsv"):
         writer.option("header", True).option("escape", '"').option("nullValue", "").option("sep", "\t" if f.name == "tsv" else ",").csv(path)
-    elif f.name in ("json", "ndjson"):
+    elif f.name == "json":
+        writer.text(path)
+    elif f.name == "ndjson":
         writer.option("ignoreNullFields", False).json(path)
     elif f.name == "parquet":
         writer.parquet(path)

@@ -166,7 +166,7 @@ def test_calibration_finds_a_reachable_target(spark, mixed):
     assert c.attainable and abs(c.value - 0.3) < 0.12
 
 
-@pytest.mark.parametrize("name", ["a.csv", "a.tsv", "a.ndjson", "a.parquet", "a.feather", "a.dta", "a.csv.gz"])
+@pytest.mark.parametrize("name", ["a.csv", "a.tsv", "a.ndjson", "a.json", "a.json.gz", "a.parquet", "a.feather", "a.dta", "a.csv.gz"])
 def test_round_trips(spark, tmp_path, name):
     df = spark.createDataFrame([(1, 1.5, "x", True), (2, None, 'a "b"', False), (3, 2.5, None, True)], "i int, d double, s string, b boolean")
     path = writers.write_data(df, f"{tmp_path}/{name}")
@@ -175,6 +175,28 @@ def test_round_trips(spark, tmp_path, name):
     assert got == want and {r["s"] for r in back.select("s").collect()} - {"", None} == {"x", 'a "b"'}
 
 
+def test_json_keeps_every_row(spark, tmp_path):
+    df = spark.range(100).repartition(4).withColumn("t", F.expr("timestamp_micros(id * 1234567)"))
+    for name in ("o.json", "o.json.bz2", "one.json"):
+        path = writers.write_data(df.coalesce(1) if name[:3] == "one" else df, f"{tmp_path}/{name}")
+        back = readers.read_data(spark, path, template=df)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    df.drop("t").write.json(f"{tmp_path}/lines.json")
+    assert readers.read_data(spark, f"{tmp_path}/lines.json").count() == 100
+    (tmp_path / "pretty.json").write_text('{\n "id": 1\n}')
+    assert readers.read_data(spark, f"{tmp_path}/pretty.json").count() == 1
+
+
+def test_times_of_every_shape(spark):
+    shapes = {
+        "2024/03/05": "2024-03-05 00:00:00", "2024-03-05": "2024-03-05 00:00:00", "2024-03-05 10:11:12.345": "2024-03-05 10:11:12.345000", "2024-03-05 10:11+02:00": "2024-03-05 08:11:00",
+        "2024-03-05T10:11": "2024-03-05 10:11:00", "2024/03/05 10:11:12": "2024-03-05 10:11:12", "2024-03-05T10:11:12.5Z": "2024-03-05 10:11:12.500000", "2024-03-05T10:11:12-0530": "2024-03-05 15:41:12",
+        " 2024-3-5 1:02 ": "2024-03-05 01:02:00", "2024-03-05 99:99": "2024-03-05 00:00:00", "2024-13-05": None, "soon": None, "": None, None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in shapes], "t string").select("t", readers.parse_datetime(F.col("t")).alias("p")).collect()
+    assert {r["t"]: None if r["p"] is None else str(r["p"]) for r in got} == shapes
+
+
 def test_formats_and_coercion(spark):
     assert formats.detect("x/y.CSV.gz")[0].name == "csv" and formats.detect("x.bin", "pq")[0].name == "parquet"
     with pytest.raises(ValueError):
