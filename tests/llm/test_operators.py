@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,28 +56,67 @@ def test_main_text_is_the_article(spark):
         assert got[p["page_id"]]["text"] == want and got[p["page_id"]]["n_chars"] == len(want)
 
 
+LAYOUTS = [
+    ('<body><div class="menu"><a href=x>Home</a> <a href=y>About us</a></div><div><h2>Big News</h2><p>First para with many words.</p><div class="ad">Buy now cheap stuff</div><p>Second &amp; last para<sup>2</sup>.</p></div><div class="comments"><p>I like this very much it is great</p></div><script>var p="<p>no</p>"</script><form><p>subscribe here</p></form>', "Big News First para with many words. Second & last para2."),
+    ('<body><main><div class="popular-science"><p>Science text that is fairly long for us to read today.</p></div></main></body>', "Science text that is fairly long for us to read today."),
+    ('<article><p>First para here with words.</p><div class="notice-board"><p>The notice board of the village is old.</p></div><p>Last one.</p></article>', "First para here with words. The notice board of the village is old. Last one."),
+    ("<article><header><h1>The Title</h1></header><p>Some body text here.</p></article>", "The Title Some body text here."),
+    ('<body><p class="x>Hello there my friend.</p><p class="y">Second paragraph here.</p></body>', "Hello there my friend. Second paragraph here."),
+    ('<p title="a > b">Text of <svg/> a page.</p>', "Text of a page."),
+    ('<header class="site-header"><h1>My Site</h1><nav><a href=/>Home</a></nav></header><article><h1>Title One</h1><p>Short lead.</p><aside class="pullout"><p>' + "words go on and on here. " * 40 + "</p></aside><p>Closing paragraph.</p></article><footer>Copyright</footer>", "Title One Short lead. Closing paragraph."),
+]
+
+
 def test_main_text_of_other_layouts():
     ex = html_text.Extractor(html_text.train())
-    page = '<body><div class="menu"><a href=x>Home</a> <a href=y>About us</a></div><div><h2>Big News</h2><p>First para with many words.</p><div class="ad">Buy now cheap stuff</div><p>Second &amp; last para<sup>2</sup>.</p></div><div class="comments"><p>I like this very much it is great</p></div><script>var p="<p>no</p>"</script><form><p>subscribe here</p></form>'
-    assert ex.text(page) == "Big News First para with many words. Second & last para2."
+    for page, want in LAYOUTS:
+        assert ex.text(page) == want
     assert ex.text(None) == ex.text("") == ex.text("<br><br>") == "" and ex.text("plain") == "plain"
     assert ex.text("<p>" + "w " * 50_000) == " ".join(["w"] * 50_000)
-    for broken in ("<", "<p", '<a "', "<!--", "</p></p>", "<script>x", "<p class='a>b", "&#xZZ;&amp"):
+    for broken in ("<", "<p", '<a "', "<!--", "</p></p>", "<script>x", "<p class='a>b", "&#xZZ;&amp", "<a b=' c=\""):
         ex.text(broken * 50)
 
 
-def test_region_is_the_best_of_all(spark):
+def test_main_text_takes_linear_time():
     ex = html_text.Extractor(html_text.train())
-    for page in html_text.labelled_pages()[::9]:
-        whole = "".join(f for f, _ in page)
-        score = [len(v.split()) * ex.word(b) if k == "text" else ex.model["tags"].get(v, -0.1) for k, v, b in html_text.tokens(whole)]
-        prefix = np.concatenate([[0], np.cumsum(score)])
-        best = max(prefix[j] - prefix[:j].min() for j in range(1, len(prefix)))
-        run = top = 0.0
-        for s in score:
-            run = max(run, 0.0) + s
-            top = max(top, run)
-        assert top == pytest.approx(best)
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<ul>" + "<li><div>" * n, lambda n: "<p" * n, lambda n: "<a><b class=x>" * n, lambda n: "<p class='" * n):
+        start = time.perf_counter()
+        ex.text(make(30_000))
+        assert time.perf_counter() - start < 4
+
+
+def test_main_text_of_composed_pages_by_other_chance():
+    ex, exact, pages = html_text.Extractor(html_text.train()), 0, html_text.labelled_pages(100, seed=99)
+    for page in pages:
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?a[^>]*>", "", "".join(f for f, good in page if good)))).split())
+        exact += ex.text("".join(f for f, _ in page)) == want
+    assert exact >= 95
+
+
+def test_region_is_the_best_of_all():
+    ex = html_text.Extractor(html_text.train())
+    pages = ["".join(f for f, _ in page) for page in html_text.labelled_pages(25, seed=5)] + [p for p, _ in LAYOUTS]
+    for page in pages:
+        parts, words, score = ex.scored(page)
+        best = max(((sum(score[i:j]), -i) for i in range(len(score)) for j in range(i + 1, len(score) + 1)), default=(0, 0))
+        begin, end = html_text.best_region(score)
+        assert sum(score[begin:end]) == pytest.approx(max(best[0], 0.0))
+        kept = [parts[i][1] if parts[i][0] == "text" and words.get(i, 1.0) > 0 else " " if parts[i][0] == "tag" and parts[i][1] in html_text.BLOCKS else "" for i in range(begin, end)]
+        assert ex.text(page) == " ".join(html.unescape("".join(kept)).split())
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        score = rng.integers(-3, 4, rng.integers(0, 12)).astype(float)
+        begin, end = html_text.best_region(score)
+        assert score[begin:end].sum() == max([0.0, *(score[i:j].sum() for i in range(len(score)) for j in range(i + 1, len(score) + 1))])
+
+
+def test_main_text_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", "<p>some text here</p>"), (3, "w", "<br>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    got = html_text.main_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "", 0), (None, "v", "some text here", 14), (3, "w", "", 0)], key=str)
+    assert html_text.main_text(df.limit(0)).count() == 0
 
 
 # op2 ---------------------------------------------------------------------------------------------
