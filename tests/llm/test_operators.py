@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,16 +142,55 @@ def test_secrets_equal_brute_force(spark, docs, odd):
 
 def test_window_entropy_by_increments(spark):
     random.seed(2)
-    tokens = ["".join(random.choice("abcXYZ0123456789+/") for _ in range(random.randint(20, 70))) for _ in range(40)]
-    alphabet, w = secret_scan.CLASSES[2][2], 20
+    tokens = ["".join(random.choice("abcXYZ0123456789+/") for _ in range(n)) for n in [*(random.randint(20, 70) for _ in range(40)), 419, 420, 421, 1500]]
+    w = 20
 
     def brute(t):
         return max(-sum(t[i : i + w].count(c) / w * math.log2(t[i : i + w].count(c) / w) for c in set(t[i : i + w])) for i in range(len(t) - w + 1))
 
-    for r in spark.createDataFrame([(t,) for t in tokens], ["t"]).select("t", secret_scan.best_entropy(F.col("t"), alphabet, w).alias("h")).collect():
+    for r in spark.createDataFrame([(t,) for t in tokens], ["t"]).select("t", secret_scan.best_entropy(F.col("t"), w).alias("h")).collect():
         assert r["h"] == pytest.approx(brute(r["t"]))
 
 
+def all_secrets_of(text):
+    """Base and entropy spans by plain regular expressions and whole recounts."""
+    base = secrets_of(text)
+    out = []
+    for m in re.finditer(secret_scan.TOKEN, text or ""):
+        token = m[0]
+        kind = next((w, least) for _, p, w, least in secret_scan.CLASSES if re.search(p, token))
+        if any(re.search(p, token) for p in secret_scan.ALLOW):
+            continue
+        w, least = kind
+        best = max(-sum(c / w * math.log2(c / w) for c in Counter(token[i : i + w]).values()) for i in range(len(token) - w + 1))
+        if best >= least - 1e-12 and not any(a <= m.start() and m.end() <= e for a, _, e in base):
+            out.append((m.start(), 3, m.end()))
+    return ",".join(f"{[*(b[0] for b in BASE), 'entropy'][k]}:{a}:{e}" for a, k, e in sorted(base + out))
+
+
+def test_all_spans_equal_brute_force(spark, docs, odd):
+    rng = random.Random(6)
+    alphabets = ["0123456789ABCDEF", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=", "0123456789abcdef", "ab1", "aaaaaaaab9"]
+    planted = [(10_000 + i, " é ".join(rng.choice(["word", "key=", "token: ", "AKIA" + "Q7" * 9, "x/y"]) + "".join(rng.choices(rng.choice(alphabets), k=rng.randint(12, 90))) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    plain = [(20_000 + i, "ordinary words-with-hyphens_and_underscores/and/paths/of-2024-10-11 internationalization " * 3) for i in range(20)]
+    df = spark.createDataFrame(planted + plain, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).unionByName(odd.select("doc_id", "text").filter("doc_id is not null").distinct())
+    got, want = by_id(secret_scan.scan(df)), {r["doc_id"]: all_secrets_of(r["text"]) for r in df.collect()}
+    assert {i: r["spans"] for i, r in got.items()} == want
+    assert sum("entropy" in want[i] for i, _ in planted) > 100 and not any(want[i] for i, _ in plain)
+    assert secret_scan.scan(df.limit(0)).count() == 0
+
+
+def test_a_text_full_of_tokens_takes_seconds(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("0123456789abcdef", k=20)) for _ in range(24_000)) + " " + " ".join("".join(rng.choices("abcdefXYZ0123456789", k=30)) for _ in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secret_scan.scan(df.limit(0)).count()
+    for columns in (["n_entropy"], ["doc_id", "n_hex", "spans", "n_entropy"]):
+        start = time.perf_counter()
+        r = secret_scan.scan(df).select(*columns).first()
+        assert time.perf_counter() - start < 20 and r["n_entropy"] > 9_000
+
+
 def test_entropy_spans_and_allow_list(spark):
     good, uuid = "q7Zp0LmX2vB9tRk4WcYs8Hd1", "550e8400-e29b-41d4-a716-446655440000"
     r = secret_scan.scan(spark.createDataFrame([(1, f"é {good} and {uuid} and internationalization_of_things")], "doc_id long, text string")).first()
