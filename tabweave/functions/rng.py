@@ -45,3 +45,15 @@ def uniform_block(seed: int, tag: str, rows: np.ndarray) -> np.ndarray:
             x ^= x >> np.uint64(31)
             x += key
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+
+
+def uniform_block_sql(seed: int, tag: str, row: str) -> str:
+    """``uniform_block`` for DuckDB: the mixer on 128-bit integers, modulo 2 to the 64."""
+    key = int.from_bytes(hashlib.blake2b(f"{seed}|{tag}".encode(), digest_size=8).digest(), "little")
+    big = lambda k: f"{k}::UHUGEINT"
+    x = f"((({row})::UHUGEINT * {big(0x9E3779B97F4A7C15)} + {big(key)}) % {big(1 << 64)})"
+    for _ in range(2):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = f"((xor({x}, ({x} >> {shift})) * {big(factor)}) % {big(1 << 64)})"
+        x = f"((xor({x}, ({x} >> 31)) + {big(key)}) % {big(1 << 64)})"
+    return f"((({x} >> 12)::DOUBLE + 0.5) / 4503599627370496.0)"

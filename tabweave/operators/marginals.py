@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.operators.ranks import quantile_grid
+
 UNSUPPORTED = (T.StructType, T.MapType, T.ArrayType, T.BinaryType)
 
 
@@ -126,47 +128,67 @@ def frequencies(df: DataFrame, columns: list[str], by: list[str] | None = None)
     return df.select(*by, F.explode(F.array(*rows)).alias("p")).select(*by, "p.*").filter("text is not null").groupBy(*by, "variable", "text").agg(F.count("*").alias("n"))
 
 
-def fit_marginals(df: DataFrame, columns: list[str], discrete_threshold: int = 20, knots: int | None = None, interpolation: str = "linear", max_levels: int = 10_000) -> dict[str, Marginal]:
-    """Marginals of all columns: three aggregations over the table, whatever the number of columns.
+def fit_marginals(df: DataFrame, columns: list[str], discrete_threshold: int = 20, knots: int | None = None, interpolation: str = "linear", max_levels: int = 10_000, by: str | None = None) -> dict:
+    """Marginals of all columns: four aggregations over the table, whatever the number of columns and strata.
 
     Columns of numbers are discrete if they hold at most ``discrete_threshold`` values and are
-    whole or repeat (at most half as many values as rows).  Categories beyond ``max_levels``
-    raise, because a model of them would not be a summary."""
+    whole or repeat (at most half as many values as rows).  Others keep all values if these are no more than
+    ``knots`` (1000 unless given), else type-8 quantiles.  Categories beyond ``max_levels`` raise, because a
+    model of them would not be a summary.  ``by`` names a text column of strata: then a dict by stratum."""
+    key = [by] if by else []
     classes = {c: value_class(df.schema[c]) for c in columns}
-    stats = {r["variable"]: r for r in profile(df, columns).collect()}  # a row a column
-    few = [c for c in columns if classes[c] in CATEGORICAL or stats[c]["n_distinct"] <= 2 * discrete_threshold + 10]
-    for c in few:
-        if classes[c] in CATEGORICAL and stats[c]["n_distinct"] > max_levels * 1.2:
-            raise ValueError(f"{c} has about {stats[c]['n_distinct']} categories; at most {max_levels} are supported (is it an identifier?)")
-    tables: dict[str, dict[str, int]] = {c: {} for c in few}
+    stats = {(r[by] if by else "", r["variable"]): r for r in profile(df, columns, key).collect()}  # a row a stratum and column
+    labels = {c for c in columns if classes[c] in CATEGORICAL}
+    few = [at for at, s in stats.items() if at[1] in labels or s["n_distinct"] <= 2 * discrete_threshold + 10]
+    for at in few:
+        if at[1] in labels and stats[at]["n_distinct"] > max_levels * 1.2:
+            raise ValueError(f"{at[1]} has about {stats[at]['n_distinct']} categories; at most {max_levels} are supported (is it an identifier?)")
+    tables: dict[tuple, dict[str, int]] = {at: {} for at in few}
     if few:
-        for r in frequencies(df, few).collect():  # bounded by max_levels a column
-            tables[r["variable"]][r["text"]] = r["n"]
-    out, smooth = {}, []
-    for c in columns:
-        s, cls = stats[c], classes[c]
+        counts = _only(frequencies(df, sorted({c for _, c in few}), key), few, by)
+        for r in counts.collect():  # bounded by max_levels a stratum and column
+            tables[r[by] if by else "", r["variable"]][r["text"]] = r["n"]
+    out: dict[tuple, Marginal] = {}
+    smooth = []
+    for at, s in stats.items():
+        c, cls = at[1], classes[at[1]]
         seen, na = s["n_observed"], 1 - s["n_observed"] / s["n"] if s["n"] else 1.0
         if not seen:
-            out[c] = Marginal(c, "empty", cls, 1.0)
+            out[at] = Marginal(c, "empty", cls, 1.0)
         elif cls in CATEGORICAL:
             meta = df.schema[c].metadata or {}
-            levels = meta.get("levels") if cls == "ordered" else ["false", "true"] if cls == "boolean" else [v for v in meta["levels"] if v in tables[c]] if cls == "factor" else sorted(tables[c], key=lambda v: v.encode())
-            out[c] = Marginal(c, "categorical", cls, na, list(levels), np.array([tables[c].get(v, 0) for v in levels], float) / seen)
-        elif c in tables and len(tables[c]) <= discrete_threshold and (s["all_integer"] or len(tables[c]) <= seen / 2):
-            items = sorted((float(v), n) for v, n in tables[c].items())
-            out[c] = Marginal(c, "discrete", cls, na, [v for v, _ in items], np.array([n for _, n in items], float) / seen, s["all_integer"])
+            levels = meta.get("levels") if cls == "ordered" else ["false", "true"] if cls == "boolean" else [v for v in meta["levels"] if v in tables[at]] if cls == "factor" else sorted(tables[at], key=lambda v: v.encode())
+            out[at] = Marginal(c, "categorical", cls, na, list(levels), np.array([tables[at].get(v, 0) for v in levels], float) / seen)
+        elif at in tables and len(tables[at]) <= discrete_threshold and (s["all_integer"] or len(tables[at]) <= seen / 2):
+            items = sorted((float(v), n) for v, n in tables[at].items())
+            out[at] = Marginal(c, "discrete", cls, na, [v for v, _ in items], np.array([n for _, n in items], float) / seen, s["all_integer"])
         else:
-            smooth.append(c)
+            smooth.append(at)
     if smooth:
         k = knots or 1000
-        grid = [F.lit((i - 0.5) / k) for i in range(1, k + 1)]
-        cuts = df.select(*[numeric_column(df, c).alias(c) for c in smooth]).agg(*[F.percentile_approx(c, F.array(*grid), F.lit(20 * k)).alias(c) for c in smooth]).first()
-        for c in smooth:
-            s = stats[c]
-            v = np.asarray(cuts[c], float)
-            if s["n_observed"] < k and not knots:  # no more knots than rows
-                n = s["n_observed"]
-                v = np.interp((np.arange(n) + 0.5) / n, (np.arange(k) + 0.5) / k, v)
-            v[0], v[-1] = s["low"], s["high"]
-            out[c] = Marginal(c, "continuous", classes[c], 1 - s["n_observed"] / s["n"], np.sort(v).tolist(), integer_valued=bool(s["all_integer"]), interpolation=interpolation)
-    return {c: out[c] for c in columns}
+        wanted = sorted({c for _, c in smooth})
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), numeric_column(df, c).alias("x")) for c in wanted])).alias("p")
+        long = df.select(*key, pairs).select(*key, "p.*").filter("x is not null")
+        whole, cut = ([at for at in smooth if (stats[at]["n_observed"] <= k) == small] for small in (True, False))
+        held: dict[tuple, list] = {at: [] for at in smooth}
+        if whole:
+            for r in _only(long, whole, by).groupBy(*key, "variable", "x").count().collect():  # at most ``k`` values each
+                held[r[by] if by else "", r["variable"]] += [r["x"]] * r["count"]
+        if cut:
+            named = _only(long, cut, by).select(F.concat(F.col(by) if by else F.lit(""), F.lit("\x00"), "variable").alias("at"), "x")
+            for r in quantile_grid(named, "at", "x", k, 8).collect():  # ``k`` rows each
+                held[tuple(r["at"].rsplit("\x00", 1))].append(r["q"])
+        for at in smooth:
+            s = stats[at]
+            out[at] = Marginal(at[1], "continuous", classes[at[1]], 1 - s["n_observed"] / s["n"], sorted(held[at]), integer_valued=bool(s["all_integer"]), interpolation=interpolation)
+    strata = sorted({s for s, _ in stats})
+    found = {s: {c: out[s, c] for c in columns if (s, c) in out} for s in strata}
+    return found if by else {c: out.get(("", c)) or Marginal(c, "empty", classes[c], 1.0) for c in columns}
+
+
+def _only(rows: DataFrame, wanted: list[tuple], by: str | None) -> DataFrame:
+    """Rows of the wanted (stratum, variable) pairs, a small table."""
+    if not by:
+        return rows.filter(F.col("variable").isin([c for _, c in wanted]))
+    small = rows.sparkSession.createDataFrame(wanted, f"`{by}` string, variable string")
+    return rows.join(F.broadcast(small), [by, "variable"], "left_semi")

@@ -151,21 +151,83 @@ def as_number_column(df: DataFrame, c: str):
 
 
 def association_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(row_var, col_var, value): Spearman, bias-corrected Cramer's V, or correlation ratio by the pair's types."""
-    names = columns or df.columns
-    parts = []
-    for i, a in enumerate(names):
-        parts.append(df.sparkSession.createDataFrame([(a, a, 1.0)], "row_var string, col_var string, value double"))
-        for b in names[i + 1 :]:
-            na, nb = is_numeric(df, a), is_numeric(df, b)
-            v = spearman(df, a, b) if na and nb else cramers_v(df, a, b) if not (na or nb) else correlation_ratio(df, a, b) if na else correlation_ratio(df, b, a)
-            parts.append(v.select(F.explode(F.array(F.struct(F.lit(a).alias("row_var"), F.lit(b).alias("col_var"), F.col("value")), F.struct(F.lit(b).alias("row_var"), F.lit(a).alias("col_var"), F.col("value")))).alias("p")).select("p.*"))
+    """(row_var, col_var, value): Spearman, bias-corrected Cramer's V, or correlation ratio by the pair's types.
+
+    Columns without gaps are ranked once, all in one plan, and their pairs are read off one aggregation of
+    the ranked rows and one of labels; only a pair with a number that has gaps, whose ranks are those of the rows
+    that hold both, is computed by itself."""
+    names, spark = columns or df.columns, df.sparkSession
+    numeric = [c for c in names if is_numeric(df, c)]
+    gaps = df.agg(F.count("*").alias("_n"), *[F.count_if(as_number_column(df, c).isNull() if c in numeric else F.col(c).isNull()).alias(c) for c in names]).first().asDict()
+    whole = [c for c in numeric if not gaps[c]]
+    labels = [c for c in names if c not in numeric]
+    parts = [spark.createDataFrame([(a, a, 1.0) for a in names], "row_var string, col_var string, value double")]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    for a, b in pairs:  # pairs of which a number has gaps
+        if a in numeric and b in numeric and not (a in whole and b in whole):
+            parts.append(_both_ways(spearman(df, a, b), a, b))
+        elif (a in numeric) != (b in numeric):
+            number, label = (a, b) if a in numeric else (b, a)
+            if number not in whole or gaps[label]:
+                parts.append(_both_ways(correlation_ratio(df, number, label), a, b))
+    if len(labels) > 1:
+        parts.append(_label_pairs(df, labels))
+    crossed = [(x, g) for x in whole for g in labels if not gaps[g]]
+    if len(whole) > 1 or crossed:
+        parts.append(_rank_pairs(df, whole, [g for g in labels if not gaps[g]], crossed, gaps["_n"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _both_ways(value: DataFrame, a: str, b: str) -> DataFrame:
+    return value.select(F.explode(F.array(*[F.struct(F.lit(x).alias("row_var"), F.lit(y).alias("col_var"), F.col("value")) for x, y in ((a, b), (b, a))])).alias("p")).select("p.*")
+
+
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("row_var"), F.col("b").alias("col_var"), "value"), F.struct(F.col("b").alias("row_var"), F.col("a").alias("col_var"), "value"))).alias("p")).select("p.*")
+
+
+def _label_pairs(df: DataFrame, labels: list[str]) -> DataFrame:
+    """Cramer's V of all pairs of labels from one grouped count."""
+    texts = df.select(*[F.col(c).cast("string").alias(f"_g{i}") for i, c in enumerate(labels)])
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_g{i}").alias("x"), F.col(f"_g{j + i + 1}").alias("y")) for i, a in enumerate(labels) for j, b in enumerate(labels[i + 1 :])]))
+    cells = texts.select(both.alias("p")).select("p.*").filter("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count("*").alias("c"))
+    rows = cells.groupBy("a", "b", "x").agg(F.sum("c").alias("rx"))
+    cols = cells.groupBy("a", "b", "y").agg(F.sum("c").alias("cy"))
+    total = cells.groupBy("a", "b").agg(F.sum("c").alias("n"), F.countDistinct("x").alias("r"), F.countDistinct("y").alias("k"))
+    chi = cells.join(rows, ["a", "b", "x"]).join(cols, ["a", "b", "y"]).groupBy("a", "b").agg(F.sum(F.col("c") * F.col("c") / (F.col("rx") * F.col("cy"))).alias("s"))
+    n, r, k = F.col("n"), F.col("r"), F.col("k")
+    phi2 = F.greatest(F.lit(0.0), (F.col("s") - 1) - (k - 1) * (r - 1) / (n - 1))
+    den = F.least(r - (r - 1) ** 2 / (n - 1), k - (k - 1) ** 2 / (n - 1)) - 1
+    return _mirrored(chi.join(total, ["a", "b"]).select("a", "b", F.when(n < 3, None).when((r < 2) | (k < 2) | (den <= 0), 0.0).otherwise(F.sqrt(phi2 / den)).alias("value")))
+
+
+def _rank_pairs(df: DataFrame, numeric: list[str], labels: list[str], crossed: list[tuple[str, str]], n: int) -> DataFrame:
+    """Spearman and correlation ratios of columns without gaps: every column is ranked once."""
+    wide = df.select(F.monotonically_increasing_id().alias("_row"), *[as_number_column(df, c).alias(f"_x{i}") for i, c in enumerate(numeric)], *[F.col(g).cast("string").alias(f"_g{i}") for i, g in enumerate(labels)])
+    long = wide.select("_row", F.explode(F.array(*[F.struct(F.lit(i).alias("_v"), F.col(f"_x{i}").alias("_x")) for i in range(len(numeric))])).alias("p"), *[f"_g{i}" for i in range(len(labels))]).select("_row", "p.*", *[f"_g{i}" for i in range(len(labels))])
+    counts = long.groupBy("_v", "_x").agg(F.count("*").alias("c"))
+    ranks = running_totals(counts, "_v", "_x", ["c"]).select("_v", "_x", (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("_r"))
+    ranked = long.join(ranks, ["_v", "_x"])
+    out = []
+    if len(numeric) > 1:
+        rows = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_v") == i, F.col("_r"))).alias(f"r{i}") for i in range(len(numeric))])
+        cor = [F.struct(F.lit(numeric[i]).alias("a"), F.lit(numeric[j]).alias("b"), F.corr(f"r{i}", f"r{j}").alias("value")) for i in range(len(numeric)) for j in range(i + 1, len(numeric))]
+        found = rows.agg(F.array(*cor).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+        out.append(_mirrored(found.select("a", "b", F.when((F.lit(n) >= 3) & ~F.isnan("value"), F.col("value")).alias("value"))))
+    if crossed:
+        cells = ranked.select("_v", "_r", F.explode(F.array(*[F.struct(F.lit(i).alias("_l"), F.col(f"_g{i}").alias("_g")) for i in range(len(labels))])).alias("p")).select("_v", "_r", "p.*")
+        groups = cells.groupBy("_v", "_l", "_g").agg(F.count("*").alias("n"), F.avg("_r").alias("m"), F.sum(F.col("_r") * F.col("_r")).alias("q"))
+        t = groups.groupBy("_v", "_l").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("b"), F.sum("q").alias("q"), F.count("*").alias("k"))
+        between, total = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("s") * F.col("s") / F.col("n")
+        value = F.when(F.col("n") < 3, None).when((F.col("k") < 2) | (total <= 0), 0.0).otherwise(F.sqrt(F.greatest(between, F.lit(0.0)) / total))
+        of = lambda c, items: F.element_at(F.array(*[F.lit(x) for x in items]), F.col(c) + 1)
+        out.append(_mirrored(t.select(of("_v", numeric).alias("a"), of("_l", labels).alias("b"), value.alias("value"))))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, n_pair, cov, corr) over jointly observed rows, in one pass."""
     x = as_number(df, columns)
@@ -197,8 +259,8 @@ def _auc_numpy(y: np.ndarray, s: np.ndarray) -> float:
 
 
 def capped(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """At most ``rows`` rows, chosen by the hash of their content and ``seed``."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])).orderBy("_h").limit(rows).drop("_h")
+    """At most ``rows`` rows, chosen by the hash of a row number and ``seed``: copies of a row are chosen one by one."""
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).orderBy("_h").limit(rows).drop("_h")
 
 
 @dataclass(frozen=True)
@@ -240,34 +302,90 @@ def discriminator_auc(real: DataFrame, synthetic: DataFrame, columns: list[str]
     return _auc_numpy(y, out)
 
 
-def ci_overlap(real: DataFrame, synthetic: DataFrame, response: str, predictors: list[str], level: float = 0.95) -> DataFrame:
-    """(term, estimate_real, estimate_synthetic, overlap, std_diff) of a linear model fitted on both
-    sides; confidence intervals use the normal quantile.  One pass of cross products a side."""
+def formula_terms(formula: str) -> tuple[str, list[str]]:
+    """(response, predictors) of "y ~ a + b"."""
+    left, sign, right = formula.partition("~")
+    terms = [t.strip() for t in right.split("+") if t.strip() not in ("", "1")]
+    if not sign or not left.strip() or any(not t.replace("_", "").replace(".", "").isalnum() for t in terms):
+        raise ValueError(f"a formula is a response, ~ and predictors joined by +, not {formula!r}")
+    return left.strip(), terms
+
+
+def _design(df: DataFrame, levels: dict[str, list[str]], response: str, predictors: list[str]) -> DataFrame:
+    cols = [F.lit(1.0).alias("(Intercept)")]
+    for p in predictors:
+        if p in levels:
+            cols += [F.when(F.col(p).isNotNull(), (F.col(p).cast("string") == v).cast("double")).alias(p + v) for v in levels[p][1:]]
+        else:
+            cols.append(as_number_column(df, p).alias(p))
+    y = F.col(response).cast("double") if df.schema[response].dataType.typeName() == "boolean" else as_number_column(df, response)
+    return df.select(*cols, y.alias("_y")).dropna()
+
+
+def fitted_model(x: DataFrame, family: str = "gaussian", steps: int = 25) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, estimates and standard errors of a linear (gaussian), logistic (binomial) or log-linear (poisson) model of
+    ``_y`` on the other columns: one aggregation of weighted cross products a Newton step."""
+    names = x.columns[:-1]
+    d = len(names)
+
+    def products(weight, target) -> tuple[np.ndarray, np.ndarray, float, float]:
+        row = x.select(*[F.col(f"`{a}`").alias(f"x{i}") for i, a in enumerate(names)], weight.alias("_w"), target.alias("_t"))
+        row = row.agg(*[F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(F.col("_w") * F.col(f"x{i}") * F.col("_t")).alias(f"t{i}") for i in range(d)], F.sum(F.col("_w") * F.col("_t") * F.col("_t")).alias("tt"), F.count("*").alias("n")).first()
+        A = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                A[i, j] = A[j, i] = row[f"s{i}_{j}"] or 0.0
+        return A, np.array([row[f"t{i}"] or 0.0 for i in range(d)]), row["tt"] or 0.0, row["n"]
+
+    y = F.col("_y")
+    if family == "gaussian":
+        A, b, tt, n = products(F.lit(1.0), y)
+        inv = np.linalg.pinv(A)
+        beta = inv @ b
+        return names, beta, np.sqrt(np.diag(inv) * max(tt - beta @ b, 0.0) / max(n - d, 1))
+    if family not in ("binomial", "poisson"):
+        raise ValueError("family must be gaussian, binomial or poisson")
+    beta = None
+    for _ in range(steps):
+        if beta is None:  # start from the data, as usual for these models
+            mu = (y + 0.5) / 2 if family == "binomial" else y + 0.1
+            eta = F.log(mu / (1 - mu)) if family == "binomial" else F.log(mu)
+        else:
+            eta = F.lit(0.0)
+            for i, a in enumerate(names):
+                eta = eta + F.lit(float(beta[i])) * F.col(f"`{a}`")
+            mu = 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(eta)
+        weight = mu * (1 - mu) if family == "binomial" else mu
+        A, b, _, _ = products(weight, eta + (y - mu) / weight)
+        inv = np.linalg.pinv(A)
+        new = inv @ b
+        done = beta is not None and np.abs(new - beta).max() < 1e-9 * (1 + np.abs(new).max())
+        beta = new
+        if done:
+            break
+    return names, beta, np.sqrt(np.diag(inv))
+
+
+def ci_overlap(real: DataFrame, synthetic: DataFrame, response: str, predictors: list[str] | None = None, level: float = 0.95, family: str = "gaussian") -> DataFrame:
+    """(term, estimates, confidence limits, std_diff, overlap) of one model fitted on both sides.
+
+    ``response`` is a column, with ``predictors``, or a formula "y ~ a + b".  Labels become dummies of the levels of the
+    real side without the first.  Limits use the normal quantile; terms that a side cannot estimate have nulls."""
     from tabweave.functions.special import norm_ppf
 
+    if predictors is None:
+        response, predictors = formula_terms(response)
     z = float(norm_ppf((1 + level) / 2))
-
-    def fitted(df: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-        cols = [F.lit(1.0).alias("(Intercept)"), *[as_number_column(df, p).alias(p) for p in predictors], as_number_column(df, response).alias("_y")]
-        x = df.select(*cols).dropna()
-        names = x.columns
-        sums = x.agg(*[F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
-        G = np.zeros((len(names), len(names)))
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                G[i, j] = G[j, i] = sums[f"s{i}_{j}"] or 0.0
-        inv = np.linalg.pinv(G[:-1, :-1])
-        beta = inv @ G[:-1, -1]
-        s2 = max(G[-1, -1] - beta @ G[:-1, -1], 0.0) / max(G[0, 0] - len(beta), 1)
-        return names[:-1], beta, np.sqrt(np.diag(inv) * s2)
-
-    (names, br, sr), (_, bs, ss) = fitted(real), fitted(synthetic)
+    levels = {p: sorted(r[0] for r in real.select(F.col(p).cast("string")).dropna().distinct().limit(1001).collect()) for p in predictors if not is_numeric(real, p)}
+    if any(len(v) > 1000 for v in levels.values()):
+        raise ValueError("a predictor has over 1000 labels")
+    (names, br, sr), (_, bs, ss) = (fitted_model(_design(df, levels, response, predictors), family) for df in (real, synthetic))
     rows = []
     for t, b, s, c, d in zip(names, br, sr, bs, ss):
         lr, ur, ls, us = b - z * s, b + z * s, c - z * d, c + z * d
         inner = min(ur, us) - max(lr, ls)
-        rows.append((t, float(b), float(c), float((inner / (ur - lr) + inner / (us - ls)) / 2) if s > 0 and d > 0 else None, float((c - b) / s) if s > 0 else None))
-    return real.sparkSession.createDataFrame(rows, "term string, estimate_real double, estimate_synthetic double, overlap double, std_diff double")
+        rows.append((t, float(b), float(c), float(lr), float(ur), float(ls), float(us), float((c - b) / s) if s > 0 else None, float((inner / (ur - lr) + inner / (us - ls)) / 2) if s > 0 and d > 0 else None))
+    return real.sparkSession.createDataFrame(rows, "term string, estimate_real double, estimate_synthetic double, lower_real double, upper_real double, lower_synthetic double, upper_synthetic double, std_diff double, overlap double")
 
 
 @dataclass(frozen=True)
@@ -278,8 +396,14 @@ class Comparison:
     auc: float | None
     dcr: DataFrame | None
 
-    def summary(self) -> list[tuple[str, float | None]]:
-        return [("mean association difference", self.association_difference), ("pMSE ratio", self.pmse.ratio if self.pmse else None), ("discriminator AUC", self.auc)]
+    def summary(self) -> list[tuple[str, float | None, str]]:
+        """(metric, value, ideal): distances of marginals, association, utility and privacy in seven rows."""
+        mean = top = None
+        if self.marginal is not None:
+            distance = F.coalesce("ks", "tvd")
+            mean, top = self.marginal.agg(F.avg(distance), F.max(distance)).first()
+        d = self.dcr.first() if self.dcr is not None else None
+        return [("mean marginal distance", mean, "0"), ("max marginal distance", top, "0"), ("mean |association difference|", self.association_difference, "0"), ("pMSE ratio", self.pmse.ratio if self.pmse else None, "~1"), ("discriminator AUC", self.auc, "0.5"), ("exact copy rate", d["exact_match"] if d else None, "0"), ("DCR ratio", d["ratio"] if d else None, ">= 1")]
 
 
 def compare(real: DataFrame, synthetic: DataFrame, columns: list[str] | None = None, metrics: tuple[str, ...] = ("marginal", "association", "utility", "privacy"), max_rows: int = 5000, seed: int = 1) -> Comparison:

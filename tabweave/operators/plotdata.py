@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.metrics import as_number, as_number_column
-from tabweave.operators.ranks import running_totals, unpivoted
+from tabweave.operators.metrics import as_number, as_number_column, association_matrix, capped, common_columns, is_numeric
+from tabweave.operators.ranks import quantile_grid, running_totals, unpivoted
 
 
 def lumped_levels(df: DataFrame, column: str, keep: int = 19, limit: int = 20) -> DataFrame:
@@ -44,14 +46,66 @@ def ecdf(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def qq_points(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
     """(p, real, synthetic) at p = 0.01 to 0.99."""
-    grid = [i / 100 for i in range(1, 100)]
-    q = lambda df, name: df.select(as_number_column(df, column).alias("x")).agg(F.percentile("x", F.array(*[F.lit(p) for p in grid])).alias(name))
-    both = q(real, "a").crossJoin(q(synthetic, "b"))  # one row each
-    return both.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in grid]).alias("p"), "a", "b")).alias("z")).select("z.p", F.col("z.a").alias("real"), F.col("z.b").alias("synthetic"))
+    sides = [df.select(F.lit(k).alias("side"), as_number_column(df, column).alias("x")) for k, df in enumerate((real, synthetic))]
+    q = quantile_grid(sides[0].unionByName(sides[1]), "side", "x", 99)
+    return q.groupBy("k").agg(F.max(F.when(F.col("side") == 0, F.col("q"))).alias("real"), F.max(F.when(F.col("side") == 1, F.col("q"))).alias("synthetic")).select((F.col("k") / 100.0).alias("p"), "real", "synthetic")
+
+
+def picked(real: DataFrame, synthetic: DataFrame, columns: list[str] | None = None, most: int | None = None, numbers: bool | None = None) -> list[str]:
+    """Columns to show: all common ones, or the named, of one kind if ``numbers`` is given; more than ``most`` raise if
+    they are named and are cut to the first with a warning otherwise."""
+    names = [c for c in common_columns(real, synthetic, columns) if numbers is None or is_numeric(real, c) == numbers]
+    if most is not None and len(names) > most:
+        if columns is not None:
+            raise ValueError(f"at most {most} variables can be shown")
+        warnings.warn(f"only the first {most} of {len(names)} variables are shown", stacklevel=2)
+    return names[:most]
+
+
+def pair_points(df: DataFrame, columns: list[str] | None = None, points: int = 1500, seed: int = 1, most: int = 5) -> DataFrame:
+    """At most ``points`` rows of at most ``most`` columns, chosen by hash of the row."""
+    return capped(df.select(*picked(df, df, columns, most)), points, seed)
+
+
+def series_lines(real: DataFrame, synthetic: DataFrame, time: str, columns: list[str], sim: str | None = "sim") -> DataFrame:
+    """(source, sim, t, series, value): the real series and each simulated one, in long form."""
+    def long(df: DataFrame, source: str) -> DataFrame:
+        run = F.col(sim).cast("long") if sim and sim in df.columns else F.lit(0).cast("long")
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])).alias("p")
+        return df.select(F.lit(source).alias("source"), run.alias("sim"), F.col(time).alias("t"), pairs).select("source", "sim", "t", "p.*")
+
+    return long(real, "real").unionByName(long(synthetic, "synthetic"))
+
+
+def distance_histogram(distances: DataFrame, bins: int = 30) -> DataFrame:
+    """(source, bin, low, high, share) of nearest-record distances, rows (source, distance), on common bins."""
+    seen = distances.filter("distance is not null")
+    edge = seen.agg(F.min("distance").alias("a"), F.max("distance").alias("b"))
+    w = (F.col("b") - F.col("a")) / bins
+    at = F.least(F.floor((F.col("distance") - F.col("a")) / F.when(w > 0, w).otherwise(1.0)), F.lit(bins - 1)).cast("int")
+    counts = seen.crossJoin(F.broadcast(edge)).groupBy("source", at.alias("bin"), "a", "b").agg(F.count("*").alias("n"))  # one row of edges
+    total = seen.groupBy("source").agg(F.count("*").alias("size"))
+    return counts.join(total, "source").select("source", "bin", (F.col("a") + F.col("bin") * w).alias("low"), (F.col("a") + (F.col("bin") + 1) * w).alias("high"), (F.col("n") / F.col("size")).alias("share"))
+
+
+def association_tiles(real: DataFrame, synthetic: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(row_var, col_var, real, synthetic, difference)."""
+    names = picked(real, synthetic, columns)
+    a, b = (association_matrix(df, names).withColumnRenamed("value", name) for df, name in ((real, "real"), (synthetic, "synthetic")))
+    return a.join(b, ["row_var", "col_var"]).withColumn("difference", F.col("synthetic") - F.col("real"))
+
+
+def calibration_path(calibration) -> list[tuple[float, float, bool]]:
+    """(closeness, value, chosen) by closeness, for a line with the chosen point marked."""
+    return [(c, v, c == calibration.closeness and v == calibration.value) for c, v in sorted(calibration.path)]
+
 
+def comparison_bars(comparison) -> DataFrame:
+    """(variable, metric, value) of the marginal distances of a comparison."""
+    m = comparison.marginal
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("ks", "wasserstein", "tvd")])).alias("p")
+    return m.select("variable", pairs).select("variable", "p.*").filter("value is not null")
 
-def pair_points(df: DataFrame, columns: list[str], points: int = 1500, seed: int = 1) -> DataFrame:
-    """At most ``points`` rows of at most five columns, chosen by hash."""
-    from tabweave.operators.metrics import capped
 
-    return capped(df.select(*columns[:5]), points, seed)
+def percent(x: float, digits: int = 1) -> str:
+    return f"{100 * x:.{digits}f}%"

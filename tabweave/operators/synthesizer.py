@@ -2,8 +2,8 @@
 
 Fitting makes a fixed number of aggregations over the table: profiles, frequency
 tables, knots, and one pass that turns rows into normal scores and adds up their
-cross products and contingency tables inside each task.  Only those sums reach
-the driver.  Generation is one narrow stage: row numbers become uniforms by a
+cross products and contingency tables inside each task.  Strata share these passes.
+Only moments and one correlation a pair reach the driver.  Generation is one narrow stage: row numbers become uniforms by a
 counter-based generator, so partitions never change a value.
 """
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions import latent, linalg
-from tabweave.functions.rng import check_seed, uniform_block
+from tabweave.functions.rng import check_seed, uniform_block, uniform_hash
 from tabweave.functions.special import gamma_ppf, norm_cdf, norm_ppf, t_cdf, t_ppf
-from tabweave.operators.marginals import CATEGORICAL, Marginal, fit_marginals, numeric_column
+from tabweave.operators.marginals import CATEGORICAL, Marginal, fit_marginals, numeric_column, value_class
 
 DF_GRID = (2, 3, 4, 5, 6, 8, 10, 15, 20, 30, 50, 100)
 BINS = 500
@@ -105,8 +105,21 @@ class Synthesizer:
     missing: str
     n_train: int
 
+    def stratum(self, key: tuple | None = None) -> Stratum:
+        if key is None:
+            return self.pooled
+        found = next((x for x in self.strata if x.key == tuple(key)), None)
+        if found is None:
+            raise ValueError(f"unknown stratum {key!r}; there are {', '.join(stratum_labels(self))}")
+        return found
+
+    def n_pair(self, stratum: tuple | None = None) -> pd.DataFrame:
+        """Rows in which both columns of a pair are observed."""
+        c = self.stratum(stratum).copula
+        return pd.DataFrame(c.n_pair.astype(int), c.names, c.names)
+
     def correlation(self, stratum: tuple | None = None, include_missing: bool = False) -> pd.DataFrame:
-        s = next((x for x in self.strata if x.key == stratum), self.pooled)
+        s = self.stratum(stratum)
         keep = [i for i, n in enumerate(s.copula.names) if include_missing or not n.startswith(".missing_")]
         names = [s.copula.names[i] for i in keep]
         return pd.DataFrame(s.copula.R[np.ix_(keep, keep)], names, names)
@@ -119,31 +132,41 @@ class Synthesizer:
         return pd.DataFrame(rows, columns=["variable", "class", "model", "support", "missing"])
 
 
-def order_categories(df: DataFrame, marginals: dict[str, Marginal]) -> None:
-    """Order unordered labels along the main direction of their mean normal scores on the ordered columns.
+def order_categories(df: DataFrame, strata: dict[str, dict[str, Marginal]], by: str | None = None) -> None:
+    """Order unordered labels along the main direction of their mean scores on the ordered columns, in every stratum.
 
-    One aggregation gives all means; ties fall back to probability and label."""
-    refs = [m for m in marginals.values() if m.type in ("continuous", "discrete") or m.type == "categorical" and m.value_class in ("ordered", "boolean")]
-    todo = [m for m in marginals.values() if m.type == "categorical" and m.value_class in ("string", "factor") and len(m.values) > 1]
+    One aggregation gives all means of all label columns; ties fall back to probability and label."""
+    every = [m for margins in strata.values() for m in margins.values()]
+    refs = {m.name: m for m in every if m.type in ("continuous", "discrete") or m.type == "categorical" and m.value_class in ("ordered", "boolean")}
+    todo = sorted({m.name for m in every if m.type == "categorical" and m.value_class in ("string", "factor") and len(m.values) > 1})
     if not refs or not todo:
         return
-    scored = df.select(*[F.col(m.name).cast("string").alias(m.name) for m in todo], *[(numeric_column(df, r.name) if r.value_class not in CATEGORICAL else F.array_position(F.array(*[F.lit(v) for v in r.values]), F.col(r.name).cast("string")).cast("double")).alias(f"_r{i}") for i, r in enumerate(refs)])
-    names = [f"_r{i}" for i in range(len(refs))]
-    stats = scored.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_samp(n).alias(f"s{n}") for n in names]).first()
-    for m in todo:
-        means = {r[m.name]: [r[n] for n in names] for r in scored.filter(F.col(m.name).isNotNull()).groupBy(m.name).agg(*[F.avg(n).alias(n) for n in names]).collect()}
-        M = np.array([[means.get(v, [None] * len(names))[i] if means.get(v) and means[v][i] is not None else np.nan for i in range(len(names))] for v in m.values], float)
-        sd = np.array([stats[f"s{n}"] or np.nan for n in names], float)
-        M = (M - np.array([stats[f"m{n}"] if stats[f"m{n}"] is not None else np.nan for n in names], float)) / np.where(sd > 0, sd, np.nan)
-        M = M[:, ~np.isnan(M).any(axis=0)]
-        if not M.shape[1]:
-            continue
-        M = M - m.probs @ M / m.probs.sum()
-        v = np.linalg.svd(np.sqrt(m.probs)[:, None] * M, full_matrices=False)[2][0]
-        lead = v[np.flatnonzero(np.abs(v) > 1e-12)[:1]]
-        score = M @ v * (np.sign(lead[0]) if len(lead) else 1.0)
-        order = sorted(range(len(m.values)), key=lambda i: (round(score[i], 10), -m.probs[i], m.values[i]))
-        m.values, m.probs = [m.values[i] for i in order], m.probs[order]
+    names = list(refs)
+    score = [(numeric_column(df, c) if r.value_class not in CATEGORICAL else F.array_position(F.array(*[F.lit(v) for v in r.values]), F.col(c).cast("string")).cast("double")).alias(f"_r{i}") for i, (c, r) in enumerate(refs.items())]
+    scored = df.select((F.col(by) if by else F.lit("")).alias("_s"), *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(todo)], *score)
+    aggs = [F.avg(f"_r{i}").alias(f"m{i}") for i in range(len(names))]
+    whole = {r["_s"]: r for r in scored.groupBy("_s").agg(*aggs, *[F.stddev_samp(f"_r{i}").alias(f"s{i}") for i in range(len(names))]).collect()}  # a row a stratum
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_c{i}").alias("text")) for i, c in enumerate(todo)])).alias("p")
+    long = scored.select("_s", pairs, *[f"_r{i}" for i in range(len(names))]).select("_s", "p.*", *[f"_r{i}" for i in range(len(names))])
+    means = {(r["_s"], r["variable"], r["text"]): r for r in long.filter("text is not null").groupBy("_s", "variable", "text").agg(*aggs).collect()}  # a row a label
+    for key, margins in strata.items():
+        for m in margins.values():
+            if m.name not in todo or m.type != "categorical" or len(m.values) < 2:
+                continue
+            at = [i for i, c in enumerate(names) if c != m.name and margins[c].type != "empty"]
+            number = lambda row, c: np.nan if row is None or row[c] is None else float(row[c])
+            M = np.array([[number(means.get((key, m.name, v)), f"m{i}") for i in at] for v in m.values], float).reshape(len(m.values), -1)
+            middle, sd = (np.array([number(whole[key], f"{k}{i}") for i in at], float) for k in "ms")
+            M = (M - middle) / np.where(sd > 0, sd, np.nan)
+            M = M[:, ~np.isnan(M).any(axis=0)]
+            if not M.shape[1]:
+                continue
+            M = M - m.probs @ M / m.probs.sum()
+            v = np.linalg.svd(np.sqrt(m.probs)[:, None] * M, full_matrices=False)[2][0]
+            lead = v[np.flatnonzero(np.abs(v) > 1e-12)[:1]]
+            place = M @ v * (np.sign(lead[0]) if len(lead) else 1.0)
+            order = sorted(range(len(m.values)), key=lambda i: (round(place[i], 10), -m.probs[i], m.values[i]))
+            m.values, m.probs = [m.values[i] for i in order], m.probs[order]
 
 
 def _scores(m: Marginal, x: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,115 +189,192 @@ def _scores(m: Marginal, x: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, n
     return u, cell
 
 
-def fit_copula(df: DataFrame, marginals: dict[str, Marginal], family: str = "gaussian", missing: str = "joint", pd_method: str = "auto", min_pair: int = 3) -> Copula:
-    """Latent correlations from one pass over ``df``.
-
-    Pairs of continuous margins: pairwise covariance of normal scores.  Pairs with a table:
-    polyserial over bins of the score, or polychoric, by maximum likelihood.  Then own
-    indicators and degenerate margins are zero, unidentified pairs are completed, and the
-    matrix is repaired to be positive definite."""
-    cols = [m for m in marginals.values() if m.type != "empty"]
-    flags = [m for m in cols if missing == "joint" and 0 < m.na_rate < 1]
-    names = [m.name for m in cols] + [f".missing_{m.name}" for m in flags]
-    d, nc = len(names), len(cols)
-    if family == "independence" or d < 2:
-        return Copula(names, np.eye(d), np.zeros((d, d)), family)
-    smooth = np.array([m.type == "continuous" for m in cols] + [False] * len(flags))
-    probs = [m.probs for m in cols] + [np.array([1 - m.na_rate, m.na_rate]) for m in flags]
-    pulled = df.select(*[(numeric_column(df, m.name) if m.value_class not in CATEGORICAL else F.array_position(F.array(*[F.lit(v) for v in m.values]), F.col(m.name).cast("string")).cast("double") - 1).alias(f"c{i}") for i, m in enumerate(cols)])
-    where = {m.name: i for i, m in enumerate(cols)}
+class _Layout:
+    """The latent columns of a stratum: its margins that are not empty, then indicators of gaps."""
+
+    def __init__(self, margins: dict[str, Marginal], missing: str):
+        self.cols = [m for m in margins.values() if m.type != "empty"]
+        self.flags = [m for m in self.cols if missing == "joint" and 0 < m.na_rate < 1]
+        self.names = [m.name for m in self.cols] + [f".missing_{m.name}" for m in self.flags]
+        self.smooth = np.array([m.type == "continuous" for m in self.cols] + [False] * len(self.flags), bool)
+        self.probs = [m.probs for m in self.cols] + [np.array([1 - m.na_rate, m.na_rate]) for m in self.flags]
+        self.where = {m.name: i for i, m in enumerate(self.cols)}
+        self.codes = [{v: k for k, v in enumerate(m.values)} if m.value_class in CATEGORICAL else None for m in self.cols]
+
+    def numbers(self, i: int, column: pa.Array) -> np.ndarray:
+        """A column's values as numbers (of labels their place in the margin), NaN for gaps."""
+        if self.codes[i] is None:
+            return column.to_numpy(zero_copy_only=False).astype(float)
+        return np.array([np.nan if v is None else self.codes[i].get(v, np.nan) for v in column.to_pylist()], float)
+
+
+def _pulled(df: DataFrame, columns: list[str], by: str | None) -> DataFrame:
+    """Stratum, and the columns as numbers or text."""
+    plain = [numeric_column(df, c) if value_class(df.schema[c]) not in CATEGORICAL else F.col(c).cast("string") for c in columns]
+    return df.select((F.col(by) if by else F.lit("")).alias("_s"), *[x.alias(f"c{i}") for i, x in enumerate(plain)])
+
+
+def fit_copulas(df: DataFrame, strata: dict[str, dict[str, Marginal]], family: str = "gaussian", missing: str = "joint", pd_method: str = "auto", min_pair: int = 3, by: str | None = None) -> dict[str, Copula]:
+    """Latent correlations of all strata from one pass over ``df``.
+
+    Pairs of continuous margins: pairwise covariance of normal scores over the deviations of all observed scores
+    (gaussian), or Kendall's tau of a bounded sample with the same correction for the restricted range (t).
+    Pairs with a table: polyserial over bins of the score, or polychoric, by maximum likelihood,
+    each pair in a task of its own.  Then own indicators and degenerate margins are zero, unidentified pairs
+    are completed, and the matrix is repaired to be positive definite."""
+    columns = list(next(iter(strata.values())))
+    layouts = {key: _Layout(margins, missing) for key, margins in strata.items()}
+    if family == "independence":
+        return {k: Copula(x.names, np.eye(len(x.names)), np.zeros((len(x.names),) * 2), family) for k, x in layouts.items()}
+    place = {c: i + 1 for i, c in enumerate(columns)}
+    schema = pa.schema([("s", pa.string()), ("kind", pa.string()), *[(k, pa.int32()) for k in "ijab"], ("v", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, int, int, int], float] = {}
+        moments: dict[tuple[str, str], np.ndarray] = {}
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            Z, C = np.zeros((n, d)), np.full((n, d), -1)
-            seen = np.zeros((n, d), bool)
-            for i, m in enumerate(cols):
-                x = b[i].to_numpy(zero_copy_only=False).astype(float)
-                seen[:, i] = ~np.isnan(x) & (x >= 0 if m.value_class in CATEGORICAL else True)
-                u, C[:, i] = _scores(m, x, seen[:, i])
-                Z[:, i] = np.where(seen[:, i], norm_ppf(np.where(seen[:, i], u, 0.5)), 0.0)
-            for k, m in enumerate(flags):
-                C[:, nc + k], seen[:, nc + k] = (~seen[:, where[m.name]]).astype(int), True
-            S = seen.astype(float)
-            for kind, A in (("n", S.T @ S), ("z", Z.T @ S), ("q", (Z * Z).T @ S), ("p", Z.T @ Z)):
+            strata_of = np.array(b[0].to_pylist(), object)
+            for key in sorted(set(strata_of) & set(layouts)):
+                x, rows = layouts[key], pa.array(np.flatnonzero(strata_of == key))
+                n, nc, d = len(rows), len(x.cols), len(x.names)
+                Z, C, seen = np.zeros((n, d)), np.full((n, d), -1), np.zeros((n, d), bool)
+                for i, m in enumerate(x.cols):
+                    v = x.numbers(i, b[place[m.name]].take(rows))
+                    seen[:, i] = ~np.isnan(v)
+                    u, C[:, i] = _scores(m, v, seen[:, i])
+                    Z[:, i] = np.where(seen[:, i], norm_ppf(np.where(seen[:, i], u, 0.5)), 0.0)
+                for k, m in enumerate(x.flags):
+                    C[:, nc + k], seen[:, nc + k] = (~seen[:, x.where[m.name]]).astype(int), True
+                S = seen.astype(float)
+                for kind, A in (("n", S.T @ S), ("z", Z.T @ S), ("q", (Z * Z).T @ S), ("p", Z.T @ Z)):
+                    moments[key, kind] = moments.get((key, kind), 0.0) + A
+                bins = np.clip((norm_cdf(Z) * BINS).astype(int), 0, BINS - 1)
+                part = [bins[:, i] if x.smooth[i] else C[:, i] for i in range(d)]
                 for i in range(d):
-                    for j in range(d):
-                        sums[kind, i, j, 0, 0] = sums.get((kind, i, j, 0, 0), 0.0) + A[i, j]
-            bins = np.clip((norm_cdf(Z) * BINS).astype(int), 0, BINS - 1)
-            for i in range(d):
-                for j in range(i + 1, d):
-                    if smooth[i] and smooth[j]:
-                        continue
-                    both = seen[:, i] & seen[:, j]
-                    if not both.any():
-                        continue
-                    a = (bins[both, i] if smooth[i] else C[both, i]) * 100_003 + (bins[both, j] if smooth[j] else C[both, j])
-                    for key, count in zip(*np.unique(a, return_counts=True)):
-                        k2 = ("t", i, j, int(key // 100_003), int(key % 100_003))
-                        sums[k2] = sums.get(k2, 0.0) + float(count)
-        if sums:
-            keys = list(zip(*sums))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), *[pa.array(k, pa.int32()) for k in keys[1:]], pa.array(list(sums.values()))], names=["kind", "i", "j", "a", "b", "v"])
-
-    rows = pulled.mapInArrow(run, "kind string, i int, j int, a int, b int, v double").groupBy("kind", "i", "j", "a", "b").agg(F.sum("v").alias("v")).toPandas()
-    part = {k: np.zeros((d, d)) for k in "nzqp"}
-    for kind in "nzqp":
-        r = rows[rows.kind == kind]
-        part[kind][r.i, r.j] = r.v
-    n, z, p = part["n"], part["z"], part["p"]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        own_n, own_m = np.diag(n), np.diag(z) / np.diag(n)
-        sd = np.sqrt(np.maximum(np.diag(part["q"]) / own_n - own_m**2, 0))
-        R = (p / n - (z / n) * (z.T / n)) / np.outer(sd, sd)
-    tables = {k: g for k, g in rows[rows.kind == "t"].groupby(["i", "j"])}
-    cuts = [None if s else latent.thresholds(q) for s, q in zip(smooth, probs)]
-    unknown, fixed = np.zeros((d, d), bool), np.zeros((d, d), bool)
-    for i in range(d):
-        for j in range(i + 1, d):
-            own = names[j] == f".missing_{names[i]}"
-            dull = any(not smooth[k] and (probs[k] > 0).sum() < 2 for k in (i, j))
-            if own or dull:
-                fixed[i, j] = fixed[j, i] = True
-                continue
-            if not (smooth[i] and smooth[j]) and (i, j) in tables:
-                g = tables[i, j]
-                if smooth[i] or smooth[j]:
-                    s, c = (g.a, g.b) if smooth[i] else (g.b, g.a)
-                    k = j if smooth[i] else i
-                    bins, inv = np.unique(s, return_inverse=True)
-                    counts = np.zeros((len(bins), len(probs[k])))
-                    np.add.at(counts, (inv, c.to_numpy()), g.v.to_numpy())
-                    R[i, j] = R[j, i] = latent.polyserial(norm_ppf((bins + 0.5) / BINS), counts, cuts[k])
-                else:
-                    counts = np.zeros((len(probs[i]), len(probs[j])))
-                    np.add.at(counts, (g.a.to_numpy(), g.b.to_numpy()), g.v.to_numpy())
-                    R[i, j] = R[j, i] = latent.polychoric(counts, cuts[i], cuts[j])
-            if n[i, j] < min_pair or not np.isfinite(R[i, j]):
-                unknown[i, j] = unknown[j, i] = True
-    R = np.clip(np.where(fixed | unknown, 0.0, np.nan_to_num(R)), -1, 1)
-    np.fill_diagonal(R, 1.0)
-    R = (R + R.T) / 2
-    R, how = linalg.complete_correlation(R, unknown)
-    R = linalg.make_pd(R, pd_method)
-    lost = [(names[i], names[j]) for i in range(d) for j in range(i + 1, d) if unknown[i, j]]
-    out = Copula(names, R, n, family, math.inf, how, lost)
-    if family == "t":
-        out.df = _t_df(pulled, cols, R[:nc, :nc])
+                    for j in range(i + 1, d):
+                        both = seen[:, i] & seen[:, j]
+                        if x.smooth[i] and x.smooth[j] or not both.any():
+                            continue
+                        cell, count = np.unique(part[i][both].astype(np.int64) << 32 | part[j][both], return_counts=True)
+                        k = len(cell)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array(["t"] * k), pa.array(np.full(k, i, np.int32)), pa.array(np.full(k, j, np.int32)), pa.array((cell >> 32).astype(np.int32)), pa.array((cell & 0xFFFFFFFF).astype(np.int32)), pa.array(count.astype(float))], schema=schema)
+        for (key, kind), A in moments.items():
+            i, j = (g.ravel().astype(np.int32) for g in np.indices(A.shape))
+            zero = np.zeros(len(i), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(i)), pa.array([kind] * len(i)), pa.array(i), pa.array(j), pa.array(zero), pa.array(zero), pa.array(A.ravel())], schema=schema)
+
+    def latent_pair(frame: pd.DataFrame) -> pd.DataFrame:
+        key, i, j = frame.s.iloc[0], int(frame.i.iloc[0]), int(frame.j.iloc[0])
+        if frame.kind.iloc[0] != "t":
+            return frame[["s", "kind", "i", "j", "v"]]
+        return pd.DataFrame({"s": [key], "kind": ["r"], "i": [i], "j": [j], "v": [_latent(layouts[key], i, j, frame)]})
+
+    pulled = _pulled(df, columns, by)
+    sums = pulled.mapInArrow(run, "s string, kind string, i int, j int, a int, b int, v double").groupBy("s", "kind", "i", "j", "a", "b").agg(F.sum("v").alias("v"))
+    rows = sums.groupBy("s", "kind", "i", "j").applyInPandas(latent_pair, "s string, kind string, i int, j int, v double").toPandas()  # five numbers a pair of columns
+    sample = _sample(pulled, rows) if family == "t" else {}
+    out = {}
+    for key, x in layouts.items():
+        d = len(x.names)
+        if d < 2:
+            out[key] = Copula(x.names, np.eye(d), np.zeros((d, d)), "independence")
+            continue
+        part = {k: np.zeros((d, d)) for k in "nzqp"} | {"r": np.full((d, d), np.nan)}
+        for kind, g in rows[rows.s == key].groupby("kind"):
+            part[kind][g.i, g.j] = g.v
+        n, z, q, p, ml = (part[k] for k in "nzqpr")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            own_n, own_m = np.diag(n), np.diag(z) / np.diag(n)
+            sd = np.sqrt(np.maximum(np.diag(q) / own_n - own_m**2, 0))
+            R = (p / n - (z / n) * (z.T / n)) / np.outer(sd, sd)
+            if family == "t":
+                within = np.sqrt(np.maximum(q / n - (z / n) ** 2, 0)) / sd[:, None]  # deviation on joint rows over that on own rows
+                R = _kendall(pulled, key, x, sample.get(key), n, place) * np.nan_to_num(within * within.T, nan=1.0, posinf=1.0)
+        ml = np.where(np.isnan(ml), ml.T, ml)
+        table = ~(x.smooth[:, None] & x.smooth[None, :])
+        R = np.where(table, ml, R)
+        dull = np.array([not x.smooth[k] and (x.probs[k] > 0).sum() < 2 for k in range(d)])
+        own = np.array([[b == f".missing_{a}" or a == f".missing_{b}" for b in x.names] for a in x.names])
+        fixed = own | dull[:, None] | dull[None, :]
+        unknown = ((n < min_pair) | ~np.isfinite(R)) & ~fixed
+        np.fill_diagonal(unknown, False)
+        R = np.clip(np.where(fixed | unknown, 0.0, np.nan_to_num(R)), -1, 1)
+        np.fill_diagonal(R, 1.0)
+        R, how = linalg.complete_correlation((R + R.T) / 2, unknown)
+        R = linalg.make_pd(R, pd_method)
+        lost = [(x.names[i], x.names[j]) for i in range(d) for j in range(i + 1, d) if unknown[i, j]]
+        out[key] = Copula(x.names, R, n, family, math.inf, how, lost)
+        if family == "t":
+            nc = len(x.cols)
+            out[key].df = _t_df(x, sample.get(key), R[:nc, :nc])
     return out
 
 
-def _t_df(pulled: DataFrame, cols: list[Marginal], R: np.ndarray, rows: int = 5000) -> float:
-    """Degrees of freedom by profile likelihood on a bounded sample of complete rows; 10 with a warning if there are under ten."""
-    sample = pulled.dropna().withColumn("_h", F.xxhash64(*[F.col(c) for c in pulled.columns])).orderBy("_h").limit(rows).drop("_h").toPandas().to_numpy(float)
-    if len(sample) < 10:
+def _latent(x: _Layout, i: int, j: int, cells: pd.DataFrame) -> float:
+    """Correlation behind the counted cells (columns a, b, v) of a pair with at least one table."""
+    if x.smooth[i] or x.smooth[j]:
+        score, label, k = (cells.a, cells.b, j) if x.smooth[i] else (cells.b, cells.a, i)
+        bins, inv = np.unique(score, return_inverse=True)
+        counts = np.zeros((len(bins), len(x.probs[k])))
+        np.add.at(counts, (inv, label.to_numpy()), cells.v.to_numpy())
+        return float(latent.polyserial(norm_ppf((bins + 0.5) / BINS), counts, latent.thresholds(x.probs[k])))
+    counts = np.zeros((len(x.probs[i]), len(x.probs[j])))
+    np.add.at(counts, (cells.a.to_numpy(), cells.b.to_numpy()), cells.v.to_numpy())
+    return float(latent.polychoric(counts, latent.thresholds(x.probs[i]), latent.thresholds(x.probs[j])))
+
+
+#: Rows of a stratum that Kendall's tau and the degrees of freedom are computed from, and joint rows that a pair should have.
+TAU_ROWS, DF_ROWS, TAU_LEAST = 2000, 5000, 500
+
+
+def _sample(pulled: DataFrame, rows: pd.DataFrame) -> dict[str, pd.DataFrame]:
+    """About DF_ROWS rows of each stratum, chosen one by one by the hash of a row number."""
+    n = {s: g.v.max() for s, g in rows[rows.kind == "n"].groupby("s")}
+    small = pulled.sparkSession.createDataFrame([(s, float(min(1.0, 1.1 * DF_ROWS / max(v, 1.0)))) for s, v in n.items()], "_s string, _share double")
+    drawn = pulled.withColumn("_u", uniform_hash(1, "sample", F.monotonically_increasing_id())).join(F.broadcast(small), "_s").filter("_u < _share")
+    return {s: g for s, g in drawn.drop("_u", "_share").toPandas().groupby("_s")}
+
+
+def _uniforms(x: _Layout, frame: pd.DataFrame, place: dict[str, int] | None = None) -> np.ndarray:
+    """Pseudo-observations of sampled rows; of tables by the distributional transform, with a random place in the cell."""
+    rng, out = np.random.default_rng(5), []
+    for i, m in enumerate(x.cols):
+        v = x.numbers(i, pa.Array.from_pandas(frame[f"c{place[m.name] - 1}"]))
+        u, cell = _scores(m, v, ~np.isnan(v))
+        if m.type != "continuous":
+            edges = m.cell_bounds()
+            u = np.where(cell >= 0, np.clip(edges[cell] + rng.random(len(v)) * (edges[cell + 1] - edges[cell]), CLIP, 1 - CLIP), np.nan)
+        out.append(u)
+    return np.column_stack(out) if out else np.zeros((len(frame), 0))
+
+
+def _kendall(pulled: DataFrame, key: str, x: _Layout, frame: pd.DataFrame | None, n: np.ndarray, place: dict[str, int]) -> np.ndarray:
+    """sin(pi / 2 tau) of the margins; a pair that the common sample leaves with few joint rows gets a sample of its own."""
+    d, nc = len(x.names), len(x.cols)
+    R = np.full((d, d), np.nan)
+    if frame is None:
+        return R
+    x.sampled = _uniforms(x, frame, place)
+    U = x.sampled[:TAU_ROWS]
+    tau, seen = latent.kendall_correlations(U), np.isfinite(U).astype(float)
+    joint = seen.T @ seen
+    for i in range(nc):
+        for j in range(i + 1, nc):
+            if x.smooth[i] and x.smooth[j] and joint[i, j] < min(n[i, j], TAU_LEAST):
+                a, b = (f"c{place[x.cols[k].name] - 1}" for k in (i, j))
+                own = pulled.filter((F.col("_s") == key) & F.col(a).isNotNull() & F.col(b).isNotNull()).limit(TAU_ROWS).toPandas()
+                tau[i, j] = tau[j, i] = latent.kendall_correlations(_uniforms(x, own, place)[:, [i, j]])[0, 1]
+    R[:nc, :nc] = np.sin(np.pi / 2 * tau)
+    return R
+
+
+def _t_df(x: _Layout, frame: pd.DataFrame | None, R: np.ndarray) -> float:
+    """Degrees of freedom by profile likelihood on the complete rows of the sample; 10 with a warning if there are under ten."""
+    U = x.sampled[np.isfinite(x.sampled).all(axis=1)][:DF_ROWS] if frame is not None else np.zeros((0, 0))
+    if len(U) < 10:
         warnings.warn("too few complete rows to estimate the degrees of freedom; 10 is used", stacklevel=3)
         return 10.0
-    U = np.column_stack([_scores(m, sample[:, i], np.ones(len(sample), bool))[0] for i, m in enumerate(cols)])
-    L, d = np.linalg.cholesky(R), len(cols)
+    U = np.clip(U, CLIP, 1 - CLIP)
+    L, d = np.linalg.cholesky(R), len(x.cols)
     best = (-math.inf, 10.0)
     for v in DF_GRID:
         X = t_ppf(U, v)
@@ -299,34 +399,44 @@ def fit(df: DataFrame, copula: str = "gaussian", by: list[str] | None = None, id
     if not columns:
         raise ValueError("no column is left to model")
 
-    def one(part: DataFrame, key: tuple, n: int) -> Stratum:
-        margins = fit_marginals(part, columns, discrete_threshold, knots, interpolation)
-        order_categories(part, margins)
-        return Stratum(key, n, margins, fit_copula(part, margins, copula, missing, pd_method))
-
     n = df.count()
     if n < 2:
         raise ValueError("at least two rows are needed")
-    pooled = one(df, (), n)
+    margins = {"": fit_marginals(df, columns, discrete_threshold, knots, interpolation)}
+    order_categories(df, margins)
+    pooled = Stratum((), n, margins[""], fit_copulas(df, margins, copula, missing, pd_method)[""])
     if pooled.copula.unidentified:
         warnings.warn("pairs never observed together were completed: " + ", ".join(f"{a}~{b}" for a, b in pooled.copula.unidentified), stacklevel=2)
     strata = []
     if by:
-        counts = df.groupBy(*by).count().orderBy(F.desc("count"), *by).limit(max_strata + 1).collect()
+        name = "_stratum"
+        while name in df.columns:
+            name += "_"
+        cut = df.withColumn(name, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+        counts = cut.groupBy(*by, name).count().orderBy(F.desc("count"), *by).limit(max_strata + 1).collect()
         if len(counts) > max_strata:
             raise ValueError(f"more than {max_strata} strata")
+        large = [r for r in counts if r["count"] >= min_stratum_size]
+        own, copulas = {}, {}
+        if large:
+            part = cut.join(F.broadcast(df.sparkSession.createDataFrame([(r[name],) for r in large], f"`{name}` string")), name, "left_semi")
+            own = fit_marginals(part, columns, discrete_threshold, knots, interpolation, by=name)
+            order_categories(part, own, name)
+            copulas = fit_copulas(part, own, copula, missing, pd_method, by=name)
         for r in counts:
             key = tuple(r[c] for c in by)
-            if r["count"] < min_stratum_size:
+            if r[name] in own:
+                strata.append(Stratum(key, r["count"], own[r[name]], copulas[r[name]]))
+            else:
                 strata.append(replace(pooled, key=key, n=r["count"], pooled=True))
-                continue
-            match = F.lit(True)
-            for c, v in zip(by, key):
-                match = match & F.col(c).eqNullSafe(F.lit(v))
-            strata.append(one(df.filter(match), key, r["count"]))
     return Synthesizer(df.schema, columns, by, ids, pooled, strata, missing, n)
 
 
+def stratum_labels(model: Synthesizer) -> list[str]:
+    """Names of the strata, as "column=value" joined by commas; the pooled model is "(pooled)"."""
+    return [", ".join(f"{c}={'NA' if v is None else v}" for c, v in zip(model.by, s.key)) for s in model.strata] or ["(pooled)"]
+
+
 def largest_remainder(n: int, shares: np.ndarray) -> np.ndarray:
     """Whole numbers that add up to n, in proportion; ties go to the earlier."""
     exact = n * np.asarray(shares, float) / np.sum(shares)

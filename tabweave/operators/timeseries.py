@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,9 +14,34 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.rng import check_seed, uniform_hash, uniform_md5
 from tabweave.functions.special import norm_cdf, norm_ppf
+from tabweave.operators.ranks import running_totals
 
 
-def ts_windows(series: DataFrame, time: str, values: list[str], lags: int, horizon: int = 1, target: str | None = None, key: list[str] | None = None) -> DataFrame:
+#: Rows of a series that one task holds while it looks back.
+STRETCH = 100_000
+
+
+def numbered(series: DataFrame, time: str, key: list[str], out: str = "_at") -> DataFrame:
+    """``series`` with the number of each row, from 1, by time within its key: ranges of time are counted apart, so that no
+    task sorts a whole series."""
+    k = F.to_json(F.struct(*key)) if key else F.lit("")
+    rows = series.withColumn("_key", k).withColumn("_one", F.lit(1))
+    return running_totals(rows, "_key", time, ["_one"]).withColumnRenamed("_one_upto", out).drop("_one")
+
+
+def looking_back(rows: DataFrame, at: str, back: int, columns: list[Callable[[Window], Column]], stretch: int | None = None) -> DataFrame:
+    """``rows`` (numbered by ``at`` within ``_key``) with columns that see up to ``back`` earlier rows.
+
+    A series is cut into stretches; each also gets the last ``back`` rows before it, which are left out of the result."""
+    size = max(stretch or STRETCH, back)
+    own = F.floor((F.col(at) - 1) / size)
+    twice = F.when((F.col(at) - 1) % size >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = rows.withColumn("_own", own).withColumn("_part", F.explode(twice))
+    w = Window.partitionBy("_key", "_part").orderBy(at)
+    return cut.select("*", *[c(w) for c in columns]).filter("_own = _part").drop("_own", "_part")
+
+
+def ts_windows(series: DataFrame, time: str, values: list[str], lags: int, horizon: int = 1, target: str | None = None, key: list[str] | None = None, stretch: int | None = None) -> DataFrame:
     """Rows (key..., time, y, lags) for supervised learning; never across series.
 
     ``y`` is the target at a time, ``lag_k`` a value horizon + k - 1 steps before; one value
@@ -24,10 +49,10 @@ def ts_windows(series: DataFrame, time: str, values: list[str], lags: int, horiz
     if lags < 1 or horizon < 1:
         raise ValueError("lags and horizon must be at least 1")
     key, target = key or [], target or values[0]
-    w = Window.partitionBy(*key).orderBy(time) if key else Window.partitionBy(F.lit(0)).orderBy(time)
-    cols = [F.lag(v, horizon + k - 1).over(w).alias(f"lag{k}" if len(values) == 1 else f"{v}_lag{k}") for v in values for k in range(1, lags + 1)]
-    out = series.select(*key, time, F.col(target).alias("y"), *cols, F.row_number().over(w).alias("_n"))
-    return out.filter(F.col("_n") >= lags + horizon).drop("_n")
+    names = [(v, k, f"lag{k}" if len(values) == 1 else f"{v}_lag{k}") for v in values for k in range(1, lags + 1)]
+    rows = numbered(series, time, key)
+    laid = looking_back(rows, "_at", lags + horizon - 1, [lambda w, v=v, k=k, n=n: F.lag(v, horizon + k - 1).over(w).alias(n) for v, k, n in names], stretch)
+    return laid.filter(F.col("_at") >= lags + horizon).select(*key, time, F.col(target).alias("y"), *[n for _, _, n in names])
 
 
 def interpolated(series: DataFrame, time: str, value: str, key: list[str] | None = None) -> DataFrame:
@@ -41,15 +66,15 @@ def interpolated(series: DataFrame, time: str, value: str, key: list[str] | None
     return a.withColumn(value, line).drop("_i", "_p", "_p0", "_v0", "_p1", "_v1")
 
 
-def acf(series: DataFrame, time: str, value: str, lag_max: int = 24, key: list[str] | None = None) -> DataFrame:
+def acf(series: DataFrame, time: str, value: str, lag_max: int = 24, key: list[str] | None = None, stretch: int | None = None) -> DataFrame:
     """(key..., lag, acf): autocovariance over the length of the series, at lags 1 to ``lag_max``."""
     key = key or []
-    part = Window.partitionBy(*(key or [F.lit(0)]))
-    x = series.filter(F.col(value).isNotNull()).select(*key, time, (F.col(value) - F.avg(value).over(part)).alias("d"))
-    w = part.orderBy(time)
-    sums = [F.sum(F.col("d") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lag_max + 1)]
-    laid = x.select(*key, "d", *[F.lag("d", k).over(w).alias(f"l{k}") for k in range(1, lag_max + 1)])
-    total = laid.groupBy(*key).agg(F.sum(F.col("d") * F.col("d")).alias("s0"), *sums)
+    seen = series.filter(F.col(value).isNotNull()).select(*key, time, value)
+    rows = numbered(seen, time, key)
+    middle = rows.groupBy("_key").agg(F.avg(value).alias("_mean"))
+    rows = rows.join(F.broadcast(middle) if not key else middle, "_key").withColumn("d", F.col(value) - F.col("_mean"))
+    laid = looking_back(rows, "_at", lag_max, [lambda w, k=k: F.lag("d", k).over(w).alias(f"l{k}") for k in range(1, lag_max + 1)], stretch)
+    total = laid.groupBy(*key).agg(F.sum(F.col("d") * F.col("d")).alias("s0"), *[F.sum(F.col("d") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lag_max + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(f"s{k}", F.lit(0.0)) / F.col("s0")).alias("acf")) for k in range(1, lag_max + 1)])
     return total.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*")
 
@@ -65,8 +90,7 @@ def bootstrap(series: DataFrame, time: str, values: list[str], n: int, method: s
     check_seed(seed)
     size = length or series.count()
     L = block_length or math.ceil(size ** (1 / 3))
-    w = Window.partitionBy(F.lit(0)).orderBy(time)
-    source = series.select(F.row_number().over(w).alias("_at"), *values)
+    source = numbered(series.select(time, *values), time, []).select("_at", *values)
     u, ids = _uniform(rng), series.sparkSession.range(int(n))
 
     def start(row: Column) -> Column:
@@ -79,14 +103,49 @@ def bootstrap(series: DataFrame, time: str, values: list[str], n: int, method: s
         drawn = ids.select("id", (F.pmod(start(b) + F.col("id") - b * L, F.lit(size)) + 1).alias("_at"))
     elif method == "stationary":
         flag = (F.col("id") == 0) | (u(seed, "restart", F.col("id")) < F.lit(1.0 / L))
-        run = Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-        first = ids.select("id", F.max(F.when(flag, F.col("id"))).over(run).alias("s"))
+        marked = ids.select("id", F.floor(F.col("id") / STRETCH).alias("_part"), F.when(flag, F.col("id")).alias("_start"))
+        ends = marked.groupBy("_part").agg(F.max("_start").alias("_last"))  # one row a stretch
+        before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("_part", F.max("_last").over(before).alias("_before"))
+        run = Window.partitionBy("_part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+        first = marked.join(ends, "_part").select("id", F.coalesce(F.max("_start").over(run), "_before").alias("s"))
         drawn = first.select("id", (F.pmod(start(F.col("s")) + F.col("id") - F.col("s"), F.lit(size)) + 1).alias("_at"))
     else:
         raise ValueError("method must be block, stationary or iid")
     return drawn.join(source, "_at").select((F.col("id") + 1).alias("t"), *values)
 
 
+METHODS = ("copula_var", "block", "stationary", "iid")
+
+
+@dataclass
+class ResampledSeries:
+    """A series that is resampled: by blocks, or (``iid``) as independent rows of a copula model of its columns."""
+
+    names: list[str]
+    method: str
+    series: DataFrame
+    time: str
+    size: int
+    block_length: int | None
+    cross: object = None
+    start: float = 1.0
+    frequency: float = 1.0
+
+    def generate(self, spark: SparkSession, n: int, sims: int = 1, seed: int = 1) -> DataFrame:
+        out = None
+        for sim in range(sims):
+            if self.method == "iid":
+                from tabweave.operators.synthesizer import generate
+
+                drawn = numbered(generate(self.cross, spark, n, seed + sim).withColumn("_id", F.monotonically_increasing_id()), "_id", []).select(F.col("_at").cast("long").alias("t"), *self.names)
+            else:
+                drawn = bootstrap(self.series, self.time, self.names, n, self.method, self.block_length, seed + sim, length=self.size)
+            one = drawn.select(F.lit(sim + 1).cast("long").alias("sim"), "t", *self.names)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
 @dataclass
 class SeriesModel:
     """A vector autoregression of normal scores with its marginal quantiles."""
@@ -99,10 +158,37 @@ class SeriesModel:
     values: np.ndarray  # sorted, a column a series
     scale: np.ndarray
     burn_in: int = 100
+    start: float = 1.0
+    frequency: float = 1.0
 
 
-def fit_series(series: DataFrame, time: str, values: list[str], max_lag: int = 10, order: int | None = None, burn_in: int = 100, max_points: int = 1_000_000) -> SeriesModel:
-    """Yule-Walker fit of one series on the driver (at most ``max_points`` points), order by AIC."""
+def fit_series(series: DataFrame, time: str, values: list[str], max_lag: int = 10, order: int | None = None, burn_in: int = 100, max_points: int = 1_000_000, method: str = "copula_var", block_length: int | None = None, start: float = 1.0, frequency: float = 1.0, **settings) -> SeriesModel | ResampledSeries:
+    """A model of one series by ``method``: ``copula_var`` (Yule-Walker on the driver, at most ``max_points`` points, order
+    by AIC), ``block`` and ``stationary`` (resampling, any length) or ``iid`` (a copula model of the columns, with
+    ``settings`` of synthesizer.fit).  ``start`` and ``frequency`` are kept for ``dated``."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    if method != "copula_var" and (order is not None or max_lag != 10 or burn_in != 100):
+        warnings.warn(f"order, max_lag and burn_in are not used by method {method}", stacklevel=2)
+    if block_length is not None and method not in ("block", "stationary"):
+        warnings.warn(f"block_length is not used by method {method}", stacklevel=2)
+    if settings and method != "iid":
+        raise TypeError(f"unknown settings: {', '.join(settings)}")
+    if method != "copula_var":
+        gaps = series.agg(F.count("*"), *[F.count_if(F.col(v).isNull()) for v in values]).first()
+        if gaps[0] < 10:
+            raise ValueError("a series needs at least ten points")
+        if any(gaps[1:]):
+            warnings.warn("missing points were interpolated", stacklevel=2)
+            for v, k in zip(values, gaps[1:]):
+                series = interpolated(series, time, v) if k else series
+        cross = None
+        if method == "iid":
+            from tabweave.operators.synthesizer import fit
+
+            cross = fit(series.select(*values), **settings)
+        length = max(1, math.ceil(gaps[0] ** (1 / 3))) if block_length is None else min(block_length, gaps[0])
+        return ResampledSeries(values, method, series.select(time, *values), time, gaps[0], None if method == "iid" else length, cross, start, frequency)
     rows = series.select(time, *[F.col(v).cast("double").alias(v) for v in values]).orderBy(time).limit(max_points + 1).toPandas()
     if len(rows) > max_points:
         raise ValueError("the series is longer than max_points")
@@ -133,7 +219,7 @@ def fit_series(series: DataFrame, time: str, values: list[str], max_lag: int = 1
             best = (aic, p, A)
     _, p, A = best
     E = C[p:] - sum((C[p - k - 1 : n - k - 1] @ A[k].T for k in range(p)), np.zeros((n - p, d)))
-    model = SeriesModel(values, p, A, E - E.mean(axis=0), C, np.sort(X, axis=0), np.ones(d), burn_in)
+    model = SeriesModel(values, p, A, E - E.mean(axis=0), C, np.sort(X, axis=0), np.ones(d), burn_in, start, frequency)
     model.scale = np.maximum(_path(model, 5000, np.random.default_rng(20260101)).std(axis=0), 1e-12)
     return model
 
@@ -150,11 +236,29 @@ def _path(m: SeriesModel, n: int, rng: np.random.Generator) -> np.ndarray:
     return Z[p + m.burn_in :]
 
 
-def generate_series(model: SeriesModel, spark: SparkSession, n: int, sims: int = 1, seed: int = 1) -> DataFrame:
+def dated(paths: DataFrame, model: SeriesModel | ResampledSeries) -> DataFrame:
+    """``paths`` with the time of each step: the model's start and one step a ``1 / frequency``."""
+    return paths.withColumn("time", F.lit(float(model.start)) + (F.col("t") - 1) / F.lit(float(model.frequency)))
+
+
+def augment_series(series: DataFrame, time: str, values: list[str], sims: int = 20, n: int | None = None, keep_real: bool = True, seed: int = 1, **settings) -> DataFrame:
+    """(sim, t, values...): the real series as sim 0, and ``sims`` simulated ones of its length (or ``n``)."""
+    if "closeness" in settings or "perturb" in settings or "label" in settings:
+        warnings.warn("closeness, perturb and label apply to tables only and were ignored", stacklevel=2)
+        settings = {k: v for k, v in settings.items() if k not in ("closeness", "perturb", "label")}
+    model = fit_series(series, time, values, **settings)
+    new = generate_series(model, series.sparkSession, n or series.count(), sims, seed)
+    real = numbered(series.select(time, *values), time, []).select(F.lit(0).cast("long").alias("sim"), F.col("_at").cast("long").alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
+    return real.unionByName(new.select("sim", "t", *[F.col(v).cast("double").alias(v) for v in values])) if keep_real else new
+
+
+def generate_series(model: SeriesModel | ResampledSeries, spark: SparkSession, n: int, sims: int = 1, seed: int = 1) -> DataFrame:
     """(sim, t, values...): one path a task, any length."""
     check_seed(seed)
     if n < 1:
         raise ValueError("n must be a positive whole number")
+    if isinstance(model, ResampledSeries):
+        return model.generate(spark, n, sims, seed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -7,53 +7,21 @@ both sides, since the engines differ in the last bit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.rng import uniform_md5, uniform_md5_sql
 from tabweave.operators import metrics, mvdist, plotdata, ranks, risk, synthesizer, timeseries
 from tabweave.operators.marginals import frequencies, profile
+from tabweave.plans.registry import ORACLES, QUERIES, halves, query, r6, table
 from tabweave.sources.readers import to_boolean, to_levels
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def halves(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    return df.filter(F.col(key) % 2 == 0), df.filter(F.col(key) % 2 == 1)
-
-
-def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit orders, generate as many rows, compare the marginals."""
     real = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
     return metrics.marginal_metrics(real, synthesizer.synthesize(real, seed=7))
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
-def scan_filter_project(spark, d):
-    return table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
-
-
 @query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN upper(trim(CASE WHEN p_size % 3 = 0 THEN ' yes' WHEN p_size % 3 = 1 THEN 'f' ELSE 'maybe' END)) IN ('TRUE','T','1','YES') THEN true
  WHEN upper(trim(CASE WHEN p_size % 3 = 0 THEN ' yes' WHEN p_size % 3 = 1 THEN 'f' ELSE 'maybe' END)) IN ('FALSE','F','0','NO') THEN false END AS flag,
  CASE WHEN p_size % 5 BETWEEN 1 AND 3 THEN (['low','mid','high'])[CAST(p_size % 5 AS INTEGER)] END AS level FROM part""")
@@ -81,25 +49,6 @@ def frequency_table(spark, d):
     return frequencies(j.select(F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic")), ["quality", "toxic"]).select("variable", F.col("text").alias("value"), "n")
 
 
-@query("SELECT round(avg(CASE WHEN l.quality IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def missing_rate(spark, d):
-    j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return j.agg(r6(F.avg(F.col("quality").isNull().cast("double"))).alias("missing_rate"), F.count("*").alias("n"))
-
-
-@query("""WITH s AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders), g AS (SELECT k, n, CASE WHEN k = 1 THEN 1.0 WHEN k = 50 THEN n ELSE least(greatest((n + 1.0/3) * ((k - 0.5) / 50) + 1.0/3, 1.0), n) END AS h FROM (SELECT max(n) AS n FROM s), (SELECT unnest(range(1, 51)) AS k))
-SELECT CAST(g.k AS INTEGER) AS k, round(a.x + (g.h - floor(g.h)) * (b.x - a.x), 4) AS knot FROM g JOIN s a ON a.r = CAST(floor(g.h) AS BIGINT) JOIN s b ON b.r = least(CAST(floor(g.h) AS BIGINT) + 1, g.n)""")
-def knots_type8(spark, d):
-    return ranks.quantile_knots(table(spark, d, "orders"), ["o_totalprice"], 50).select("k", F.round("knot", 4).alias("knot"))
-
-
-@query("SELECT u / 20.0 AS u, round((SELECT quantile_cont(o_totalprice, u / 20.0) FROM orders), 4) AS x FROM (SELECT unnest(range(1, 20)) AS u)".replace("(SELECT quantile_cont(o_totalprice, u / 20.0) FROM orders)", "q[u]").replace("FROM (SELECT unnest", "FROM (SELECT quantile_cont(o_totalprice, [" + ", ".join(f"{k / 20}" for k in range(1, 20)) + "]) AS q FROM orders), (SELECT unnest"))
-def quantile_lookup(spark, d):
-    grid = [k / 20 for k in range(1, 20)]
-    q = table(spark, d, "orders").agg(F.percentile("o_totalprice", F.array(*[F.lit(p) for p in grid])).alias("q"))
-    return q.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in grid]).alias("u"), "q")).alias("z")).select("z.u", F.round("z.q", 4).alias("x"))
-
-
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, round((rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0) / (count(*) OVER () + 1), 9) AS u FROM orders")
 def pseudo_observations(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
@@ -181,11 +130,6 @@ def correlation_ratio(spark, d):
     return metrics.correlation_ratio(table(spark, d, "part"), "p_size", "p_brand").select(r6("value").alias("value"))
 
 
-@query()
-def association_matrix(spark, d):
-    return metrics.association_matrix(table(spark, d, "part").select("p_size", "p_retailprice", "p_brand", "p_type"))
-
-
 @query("""WITH j AS (SELECT CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT 'n_chars' AS a, 'quality' AS b, count(*) FILTER (quality IS NOT NULL) AS n_pair, round(covar_samp(n_chars, quality), 6) AS cov, round(corr(n_chars, quality), 6) AS corr FROM j
 UNION ALL SELECT 'n_chars', 'toxic', count(*) FILTER (toxic IS NOT NULL), round(covar_samp(n_chars, toxic), 6), round(corr(n_chars, toxic), 6) FROM j
@@ -271,21 +215,6 @@ def largest_remainder(spark, d):
     return spark.createDataFrame([(int(r["n_regionkey"]), int(s)) for r, s in zip(counts, sizes)], "stratum long, size long")
 
 
-@query(f"""WITH m AS (SELECT avg(p_retailprice) AS mu, stddev_samp(p_retailprice) AS sd, median(p_retailprice) AS med FROM part)
-SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(med + 1.5 * (p_retailprice - med) + 0.25 * sd, 6) AS moved, CASE WHEN {uniform_md5_sql(2, 'swap', 'p_partkey')} < 0.3 THEN 'swapped' ELSE p_brand END AS brand, CAST(floor(p_size + {uniform_md5_sql(2, 'round', 'p_partkey')}) AS BIGINT) AS rounded FROM part, m""")
-def perturb_values(spark, d):
-    p = table(spark, d, "part")
-    m = p.agg(F.stddev_samp("p_retailprice").alias("sd"), F.percentile("p_retailprice", F.lit(0.5)).alias("med"))
-    key = F.col("p_partkey").cast("long")
-    return p.crossJoin(F.broadcast(m)).select(key.alias("p_partkey"), r6(F.col("med") + 1.5 * (F.col("p_retailprice") - F.col("med")) + 0.25 * F.col("sd")).alias("moved"), F.when(uniform_md5(2, "swap", key) < 0.3, "swapped").otherwise(F.col("p_brand")).alias("brand"), F.floor(F.col("p_size") + uniform_md5(2, "round", key)).cast("long").alias("rounded"))
-
-
-@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_mktsegment AS segment, false AS synthetic FROM customer UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'NONE', true FROM supplier")
-def augment_label(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("segment"), F.lit(False).alias("synthetic"))
-    return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.lit("NONE").alias("segment"), F.lit(True).alias("synthetic")))
-
-
 @query("""WITH c AS (SELECT p_brand AS level, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, level) AS r, count(*) OVER () AS k FROM c)
 SELECT CASE WHEN k <= 20 OR r <= 19 THEN level ELSE '(other)' END AS level, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""")
 def level_lumping(spark, d):
@@ -316,18 +245,6 @@ def ecdf(spark, d):
     return plotdata.ecdf(table(spark, d, "lineitem"), ["l_discount"]).select("variable", "value", r6("ecdf").alias("ecdf"))
 
 
-@query("SELECT l.quality AS quality, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY l.quality")
-def stratum_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"))
-
-
-@query(f"""SELECT CAST(o_orderkey AS BIGINT) AS id, round(-ln({uniform_md5_sql(3, 'e', 'o_orderkey')}), 9) AS expo, round((1 - ln({uniform_md5_sql(3, 'a', 'o_orderkey')}) / (-ln({uniform_md5_sql(3, 'v', 'o_orderkey')}))) ** (-1.0), 9) AS clayton FROM orders""")
-def clayton_draws(spark, d):
-    key = F.col("o_orderkey").cast("long")
-    e, a, v = (uniform_md5(3, t, key) for t in ("e", "a", "v"))
-    return table(spark, d, "orders").select(key.alias("id"), F.round(-F.log(e), 9).alias("expo"), F.round(F.pow(1 - F.log(a) / -F.log(v), F.lit(-1.0)), 9).alias("clayton"))
-
-
 @query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(row_number() OVER (ORDER BY {uniform_md5_sql(4, 'fold', 'doc_id')}, doc_id) % 5 AS INTEGER) AS fold FROM labels")
 def folds(spark, d):
     u = uniform_md5(4, "fold", F.col("doc_id"))
@@ -354,24 +271,12 @@ def generate_strata(spark, d):
     return synthesizer.synthesize(real, seed=11, by=["o_orderstatus"], copula="t")
 
 
-@query()
-def nearest_record_distances(spark, d):
-    a, b = halves(table(spark, d, "lineitem").select("l_orderkey", *NUMBERS, "l_returnflag"), "l_orderkey")
-    return risk.nearest_records(a.drop("l_orderkey"), b.drop("l_orderkey"))
-
-
-@query()
-def confidence_interval_overlap(spark, d):
-    a, b = halves(table(spark, d, "lineitem"), "l_orderkey")
-    return metrics.ci_overlap(a, b, "l_extendedprice", ["l_quantity", "l_discount"])
-
-
-@query()
-def gumbel_copula(spark, d):
-    return mvdist.r_copula(spark, 10_000, "gumbel", 3, theta=2.0)
-
-
 @query()
 def series_paths(spark, d):
     model = timeseries.fit_series(hourly(spark, d), "t", ["n", "v"])
     return timeseries.generate_series(model, spark, 200, sims=4)
+
+
+from tabweave.plans import file_queries, model_queries  # noqa: E402,F401  (they register theirs)
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -13,6 +13,10 @@ class Format:
     read: bool
     write: bool
     needs: str | None = None
+    needs_written: str | None = None  # where writing needs another library than reading
+
+    def needs_to(self, do: str) -> str | None:
+        return self.needs_written if do == "write" and self.needs_written else self.needs
 
 
 # Format names and file extensions.
@@ -25,10 +29,10 @@ FORMATS = (
     Format("feather", ("feather", "arrow", "ipc"), True, True),
     Format("hdf5", ("h5", "hdf5", "hdf"), True, True, "h5py"),
     Format("excel", ("xlsx", "xls"), True, True, "openpyxl"),
-    Format("spss", ("sav", "zsav", "por"), True, False, "pyreadstat"),
+    Format("spss", ("sav", "zsav", "por"), True, True, "pyreadstat"),
     Format("stata", ("dta",), True, True),
     Format("sas", ("sas7bdat",), True, False),
-    Format("xpt", ("xpt",), True, False),
+    Format("xpt", ("xpt",), True, True, None, "pyreadstat"),
     Format("rds", ("rds",), False, False, "an R session"),
     Format("rdata", ("rda", "rdata"), False, False, "an R session"),
     Format("fst", ("fst",), False, False, "an R session"),
@@ -39,8 +43,9 @@ CANONICAL = {"rdata": "rda", "feather": "feather", "hdf5": "h5", "excel": "xlsx"
 COMPRESSIONS = {"gz": "gzip", "bz2": "bzip2", "xz": "xz"}
 
 
-def available(f: Format) -> bool:
-    return f.needs is None or (" " not in f.needs and importlib.util.find_spec(f.needs) is not None)
+def available(f: Format, do: str = "read") -> bool:
+    needs = f.needs_to(do)
+    return needs is None or (" " not in needs and importlib.util.find_spec(needs) is not None)
 
 
 def supported_formats(available_only: bool = False) -> list[dict]:

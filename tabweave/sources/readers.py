@@ -115,9 +115,16 @@ def _read(spark: SparkSession, paths: list[str], f: Format, packed: str | None,
                 raise ValueError("HDF5 columns have unequal lengths")
             part = spark.createDataFrame(pd.DataFrame(columns))
         else:
+            import os
+            import tempfile
+
             import pyreadstat
 
-            raise RuntimeError(f"{f.name} needs a local path for {pyreadstat.__name__}")
+            with tempfile.TemporaryDirectory() as folder:  # the library reads paths of the driver only
+                at = os.path.join(folder, "table." + p.rsplit(".", 1)[-1].lower())
+                with open(at, "wb") as file:
+                    file.write(data.getvalue())
+                part = spark.createDataFrame((pyreadstat.read_por if at.endswith("por") else pyreadstat.read_sav)(at, apply_value_formats=True)[0])
         part = part.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in part.dtypes])
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import warnings
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.sources.formats import available, detect
+from tabweave.sources.workspace import exists, put
 
 # Names that Stata reserves.
 RESERVED = frozenset("_all _b byte _coef _cons double float if in int long _n _N _pi _pred _rc _skip strL using with".split())
@@ -64,11 +66,12 @@ def json_arrays(df: DataFrame) -> DataFrame:
 
 def write_data(df: DataFrame, path: str, format: str | None = None, overwrite: bool = True, append: bool = False, **options) -> str:
     """Write ``df`` and return the path.  Text formats and Parquet are written by all tasks into a
-    directory; Feather and Stata files hold at most SINGLE_FILE_ROWS rows, which pass the driver."""
+    directory; formats of one file hold at most SINGLE_FILE_ROWS rows, which pass the driver, and are
+    written where ``path`` says, also on a shared file system."""
     f, packed = detect(path, format)
-    if not f.write or not available(f):
+    if not f.write or not available(f, "write"):
         hint = "; xpt, csv or parquet can be written instead" if f.name == "sas" else ""
-        raise RuntimeError(f"{f.name} files cannot be written here" + (f": {f.needs} is needed" if f.needs else "") + hint)
+        raise RuntimeError(f"{f.name} files cannot be written here" + (f": {f.needs_to('write')} is needed" if f.needs_to("write") else "") + hint)
     writer = df.write if f.name == "parquet" else (json_arrays(iso_times(df)) if f.name == "json" else iso_times(df)).write
     writer = writer.mode("append" if append else "overwrite" if overwrite else "errorifexists").options(**options)
     if packed == "xz":
@@ -84,32 +87,49 @@ def write_data(df: DataFrame, path: str, format: str | None = None, overwrite: b
     elif f.name == "parquet":
         writer.parquet(path)
     else:
-        import os
-
-        if os.path.exists(path) and not overwrite:
+        spark = df.sparkSession
+        if exists(spark, path) and not overwrite:
             raise FileExistsError(path)
         if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
             raise ValueError(f"{f.name} is for at most {SINGLE_FILE_ROWS} rows; write parquet instead")
-        if f.name == "feather":
-            import pyarrow.feather
-
-            pyarrow.feather.write_feather(df.toArrow(), path)
-        elif f.name == "stata":
-            bools = [F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
-            df.select(*bools).toDF(*stata_names(df.columns)).toPandas().to_stata(path, write_index=False, version=118)
-        elif f.name == "excel":
-            if path.lower().endswith(".xls"):
-                raise ValueError(".xls cannot be written; use .xlsx")
-            df.toPandas().to_excel(path, index=False)
-        else:
-            import h5py
-
-            with h5py.File(path, "w") as h:
-                for c, x in df.toPandas().items():
-                    h.create_dataset(f"data/{c}", data=x.to_numpy())
+        put(spark, path, _single_file(df, f.name, path))
     return path
 
 
+def _single_file(df: DataFrame, name: str, path: str) -> bytes:
+    """The content of a file of a format that holds one table (of a checked size)."""
+    import os
+    import tempfile
+
+    out = io.BytesIO()
+    if name == "feather":
+        import pyarrow.feather
+
+        pyarrow.feather.write_feather(df.toArrow(), out)
+    elif name == "stata":
+        bools = [F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
+        df.select(*bools).toDF(*stata_names(df.columns)).toPandas().to_stata(out, write_index=False, version=118)
+    elif name == "excel":
+        if path.lower().endswith(".xls"):
+            raise ValueError(".xls cannot be written; use .xlsx")
+        df.toPandas().to_excel(out, index=False)
+    elif name == "hdf5":
+        import h5py
+
+        with h5py.File(out, "w") as h:
+            for c, x in df.toPandas().items():
+                h.create_dataset(f"data/{c}", data=x.to_numpy())
+    else:  # spss, xpt: the library writes to a path of the driver only
+        import pyreadstat
+
+        with tempfile.TemporaryDirectory() as folder:
+            at = os.path.join(folder, "table")
+            (pyreadstat.write_sav if name == "spss" else pyreadstat.write_xport)(df.toPandas(), at)
+            with open(at, "rb") as file:
+                return file.read()
+    return out.getvalue()
+
+
 def generate_to_file(model, spark: SparkSession, n: int, path: str, format: str | None = None, chunk_size: int = 100_000, seed: int = 1, **settings) -> dict:
     """Generate ``n`` rows straight into files of at most ``chunk_size`` rows; ids are unique over all files."""
     from tabweave.operators.synthesizer import generate
@@ -118,5 +138,9 @@ def generate_to_file(model, spark: SparkSession, n: int, path: str, format: str
         raise ValueError("chunk_size must be at least 1")
     f, _ = detect(path, format)
     parts = max(1, -(-n // chunk_size))
-    write_data(generate(model, spark, n, seed, partitions=parts, **settings), path, format, maxRecordsPerFile=chunk_size)
+    rows = generate(model, spark, n, seed, partitions=parts, **settings)
+    if f.name in ("csv", "tsv", "json", "ndjson", "parquet"):
+        write_data(rows, path, format, maxRecordsPerFile=chunk_size)
+    else:
+        write_data(rows, path, format)
     return {"path": path, "format": f.name, "n": n, "chunks": parts}

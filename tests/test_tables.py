@@ -90,7 +90,7 @@ def test_feature_golden():
 @pytest.fixture(scope="module")
 def mixed(spark):
     x = mvdist.r_mvdist(spark, 4000, {"num": "norm", "cnt": {"dist": "pois", "rate": 3.0}, "fac": mvdist.margin_categorical(["a", "b", "c"], [0.5, 0.3, 0.2])}, corr=0.6, seed=4)
-    return x.select("num", F.col("cnt").cast("int").alias("cnt"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("fac").cast("int") + 1).alias("fac"), (F.col("num") > 0.3).alias("flag"), F.date_add(F.lit("2020-01-01").cast("date"), F.round(F.col("num") * 100).cast("int")).alias("day"), F.when(F.col("num") < 1, F.col("num") * 2).alias("gap"))
+    return x.select("num", F.col("cnt").cast("int").alias("cnt"), F.col("fac").cast("string").alias("fac", metadata={}), (F.col("num") > 0.3).alias("flag"), F.date_add(F.lit("2020-01-01").cast("date"), F.round(F.col("num") * 100).cast("int")).alias("day"), F.when(F.col("num") < 1, F.col("num") * 2).alias("gap"))
 
 
 def test_types_dependence_and_missingness_survive(spark, mixed):
