@@ -46,6 +46,8 @@ BINS, SIMILAR = 64, 0.8
 PREFIXES = (4, 5, 6, 7, 8)
 #: Ridge of the weights, and the width of the smoothed clamp as a share of the prior.
 RIDGE, SOFT = 1e-5, 0.02
+#: Most tasks that send the driver a sum of gradients each.
+TASKS = 512
 #: Distinct reductions that a task adds up before it hands them on, and the grid of scores when the threshold is set.
 HELD, GRID = 100_000, 1000
 
@@ -105,7 +107,7 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def _encoded(texts: DataFrame) -> DataFrame:
-    """Features and MinHash signature (least CRC-32 of each bin, over all features) of each text."""
+    """Features and MinHash signature (least CRC-32 of each bin, over all features) of each text, numbered."""
     schema = pa.schema([("words", pa.list_(pa.string())), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +121,7 @@ def _encoded(texts: DataFrame) -> DataFrame:
                 yield from out.add((words, least), 16 * len(words) + 8 * BINS)
         yield from out.flush()
 
-    return texts.mapInArrow(run, "words array<string>, signature array<long>")
+    return texts.mapInArrow(run, "words array<string>, signature array<long>").withColumn("i", F.monotonically_increasing_id())
 
 
 def near_copies(signatures: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
@@ -203,11 +205,10 @@ def unlabelled_sums(patterns: DataFrame, total: int) -> Callable[[np.ndarray], t
             for b in batches:
                 value, grad = loss_sums(*_flat(b["at"]), b["n"].to_numpy().astype(float), w)
                 sums += np.append(grad, value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], names=["v"])
 
-        out = np.zeros(len(w) + 1)
-        for r in patterns.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v")).collect():  # one row a weight
-            out[r["k"]] = r["v"]
+        parts = [r["v"] for r in patterns.coalesce(TASKS).mapInArrow(run, "v array<double>").collect()]  # at most TASKS rows
+        out = np.array([math.fsum(x) for x in zip(*parts)])  # whatever the order of tasks
         return out[-1] / total, out[:-1] / total
 
     return at
@@ -288,23 +289,23 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, least: i
     scratch = Scratch(docs.sparkSession, "toxicity")
     try:
         chosen = known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-        sample = scratch.write(_encoded(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")), "sample").toArrow().combine_chunks()
-        rows, words = _flat(sample["words"])
-        group = near_copies(np.array(sample["signature"].to_pylist(), np.int64).reshape(-1, BINS))
-        vocabulary, cols = np.unique(words.astype(object), return_inverse=True)
-        once = np.unique(group[rows] * len(vocabulary) + cols) % max(len(vocabulary), 1)
-        a = np.bincount(once, minlength=len(vocabulary)).astype(float)
-        known = np.flatnonzero(a >= least)
+        sample = scratch.write(_encoded(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")), "sample")
+        drawn = sample.select("i", "signature").toArrow()  # at most a row for each text of the bounded sample
+        group = near_copies(np.array(drawn["signature"].to_pylist(), np.int64).reshape(-1, BINS))
+        grouped = docs.sparkSession.createDataFrame(pa.table({"i": drawn["i"], "copies": pa.array(group.astype(np.int64))}))
+        words = sample.select("i", F.explode("words").alias("word")).join(F.broadcast(grouped), "i").groupBy("word").agg(F.countDistinct("copies").alias("a"))
+        words = words.filter(F.col("a") >= least).orderBy("word").toArrow()  # words of the bounded sample
+        known, a = words["word"].to_pylist(), words["a"].to_numpy().astype(float)
         texts = docs.filter("doc_id is not null").filter(in_fold() != 0).select("text")
-        b, total = _counted(texts, vocabulary[known].tolist())
-        used = evidence(a[known], b.astype(float), len(np.unique(group)), total) > 2 * math.log(len(known) + 1)
-        use, often = known[used], b[used] / max(total, 1)
+        b, total = _counted(texts, known)
+        used = np.flatnonzero(evidence(a, b.astype(float), len(np.unique(group)), total) > 2 * math.log(len(known) + 1))
+        use, often = [known[i] for i in used], b[used] / max(total, 1)
         start = math.log(prior / (1 - prior)) if prior < 0.5 else -1e-6
-        if not len(use):
+        if not use:
             return Model({}, start)
-        keep = np.isin(cols, use)
-        toxic = rows[keep], np.searchsorted(use, cols[keep]), np.full(len(group), 1 / len(group))
-        use = vocabulary[use].tolist()
+        rows, cols = _flat(sample.select(F.array_intersect("words", F.lit(use)).alias("words")).toArrow()["words"])
+        at_use = {w: i for i, w in enumerate(use)}
+        toxic = rows, np.array([at_use[w] for w in cols], np.int64), np.full(len(group), 1 / len(group))
         patterns = scratch.write(reduced(texts, use), "patterns")
         at = risk(toxic, unlabelled_sums(patterns, total), prior)
         calm = max(prior * (1 - prior), 0.02)
