@@ -15,7 +15,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.rng import uniform_hash
@@ -61,22 +61,41 @@ class Encoder:
         return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(self.plan))], outputCol="_x").transform(x).select(*keep, "_x")
 
 
+RESIDUALS, CALIBRATIONS = ("leaf", "global", "none"), ("quantile", "none")
+#: Quantiles that stand for the residuals of a leaf, and rows of the sample that a calibration is read off.
+POOL, REFERENCE = 500, 20_000
+
+
+def _pools(fitted: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., _pool): residuals as at most POOL sorted quantiles with mean 0; no task holds all residuals of a leaf."""
+    grid = F.array(*[F.lit((i + 0.5) / POOL) for i in range(POOL)])
+    pools = fitted.groupBy(*by).agg(F.percentile_approx("residual", grid, F.lit(20 * POOL)).alias("_pool"))
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    return pools.withColumn("_mean_of", mean(F.col("_pool"))).withColumn("_pool", F.expr("transform(_pool, x -> x - _mean_of)")).drop("_mean_of")
+
+
 @dataclass
 class TreeModel:
     encoder: Encoder
     tree: object
-    residuals: DataFrame  # (leaf, k, residual) with k = 0.. within the leaf
-    sizes: DataFrame  # (leaf, size)
+    pools: DataFrame  # (_leaf, _pool), a row a leaf
+    whole: list[float]  # the pool of all leaves
     target: str
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return self.tree.transform(self.encoder.assembled(df, keep)).withColumnRenamed("prediction", "_mean").drop("_x")
 
-    def draw(self, df: DataFrame, row_id: str, seed: int) -> DataFrame:
-        """(row_id, draw): leaf mean plus a residual of the leaf, picked by hash."""
-        p = self.predict(df, [row_id]).join(F.broadcast(self.sizes), "_leaf")  # one row a leaf, at most 2^maxdepth
-        p = p.withColumn("_k", F.floor(uniform_hash(seed, "residual", F.col(row_id)) * F.col("size")))
-        return p.join(self.residuals, ["_leaf", "_k"]).select(row_id, (F.col("_mean") + F.col("residual")).alias("draw"))
+    def distribution(self, df: DataFrame, keep: list[str], residual: str = "leaf") -> DataFrame:
+        """keep..., _mean, _pool: the fitted mean and the residuals that a draw picks from."""
+        p = self.predict(df, keep)
+        if residual == "leaf":
+            return p.join(F.broadcast(self.pools), "_leaf")  # at most 2^maxdepth rows of POOL numbers
+        return p.withColumn("_pool", F.lit(self.whole if residual == "global" else [0.0]))
+
+    def draw(self, df: DataFrame, row_id: str, seed: int, residual: str = "leaf") -> DataFrame:
+        """(row_id, draw): leaf mean plus a residual of the leaf, or of all leaves, picked by hash."""
+        at = F.floor(uniform_hash(seed, "residual", F.col(row_id)) * F.size("_pool")).cast("int") + 1
+        return self.distribution(df, [row_id], residual).select(row_id, (F.col("_mean") + F.element_at("_pool", at)).alias("draw"))
 
 
 def fit_tree(df: DataFrame, target: str, predictors: list[str], minbucket: int = 20, cp: float = 0.001, maxdepth: int = 10) -> TreeModel:
@@ -89,9 +108,8 @@ def fit_tree(df: DataFrame, target: str, predictors: list[str], minbucket: int =
     data = enc.assembled(y, ["_y"])
     tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_y", leafCol="_leaf", minInstancesPerNode=minbucket, maxDepth=maxdepth, minInfoGain=float(cp * (stats[1] or 0.0)), seed=1).fit(data)
     fitted = tree.transform(data).select("_leaf", (F.col("_y") - F.col("prediction")).alias("residual"))
-    w = Window.partitionBy("_leaf").orderBy("residual")
-    pool = fitted.select("_leaf", (F.row_number().over(w) - 1).cast("long").alias("_k"), "residual")
-    return TreeModel(enc, tree, pool, fitted.groupBy("_leaf").agg(F.count("*").alias("size")), target)
+    pools = _pools(fitted, ["_leaf"]).toArrow()  # a row a leaf
+    return TreeModel(enc, tree, df.sparkSession.createDataFrame(pools), list(_pools(fitted, []).first()["_pool"]), target)
 
 
 @dataclass
@@ -109,15 +127,25 @@ class SmoothModel:
             x = x + F.lit(float(self.beta[k + 1])) * b
         return x
 
-    def draw(self, df: DataFrame, row_id: str, seed: int) -> DataFrame:
-        """(row_id, draw): fitted mean plus a residual of one of the nearest training means."""
-        order, res, local = self.means, self.residuals, min(self.local, len(self.means))
+    def local_pools(self, mean: np.ndarray, residual: str) -> np.ndarray:
+        """For each mean the residuals that a draw picks from: those of the nearest training means, centred, or of all."""
+        if residual == "none":
+            return np.zeros((len(mean), 1))
+        if residual == "global":
+            return np.broadcast_to(np.quantile(self.residuals, (np.arange(POOL) + 0.5) / POOL) - self.residuals.mean(), (len(mean), POOL))
+        local = min(self.local, len(self.means))
+        lo = np.clip(np.searchsorted(self.means, mean) - local // 2, 0, len(self.means) - local)
+        near = self.residuals[lo[:, None] + np.arange(local)]
+        return near - near.mean(axis=1, keepdims=True)
+
+    def draw(self, df: DataFrame, row_id: str, seed: int, residual: str = "leaf") -> DataFrame:
+        """(row_id, draw): fitted mean plus a residual of one of the nearest training means, or of any."""
 
         @F.pandas_udf("double")
         def pick(mean: pd.Series, u: pd.Series) -> pd.Series:
-            lo = np.clip(np.searchsorted(order, mean.to_numpy()) - local // 2, 0, len(order) - local)
-            sums = np.concatenate([[0.0], np.cumsum(res)])
-            return pd.Series(mean.to_numpy() + res[lo + np.minimum((u.to_numpy() * local).astype(int), local - 1)] - (sums[lo + local] - sums[lo]) / local)
+            pools = self.local_pools(mean.to_numpy(float), residual)
+            at = np.minimum((u.to_numpy() * pools.shape[1]).astype(int), pools.shape[1] - 1)
+            return pd.Series(mean.to_numpy(float) + pools[np.arange(len(at)), at])
 
         return df.select(row_id, pick(self.mean(df), uniform_hash(seed, "residual", F.col(row_id))).alias("draw"))
 
@@ -182,29 +210,108 @@ def crps(draws: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs(X - y[:, None]).mean(axis=1) - (X * (2 * np.arange(1, m + 1) - m - 1)).sum(axis=1) / m**2
 
 
-def select_engine(df: DataFrame, target: str, predictors: list[str], row_id: str, folds: int = 5, rule: str = "one_se", seed: int = 1, max_rows: int = 5000) -> tuple[str, dict[str, float]]:
-    """Cross-validated squared error of the tree and the smooth model; ``one_se`` prefers the simpler within one standard error."""
+def select_engine(df: DataFrame, target: str, predictors: list[str], row_id: str, folds: int = 5, rule: str = "one_se", seed: int = 1, max_rows: int = 5000, score: str = "crps", gam: dict | None = None, cart: dict | None = None) -> tuple[str, dict[str, float]]:
+    """Cross-validated score of the tree and the smooth model: ``crps`` of their draws or ``mse`` of their means, on at most
+    ``max_rows`` rows.  ``one_se`` prefers the smooth model within one standard error; an engine that cannot be
+    fitted in a fold is out, and if none can, the tree is named."""
     from tabweave.operators.metrics import capped
 
+    if score not in ("crps", "mse") or rule not in ("one_se", "min"):
+        raise ValueError("score must be crps or mse, and rule one_se or min")
     some = capped(df, max_rows, seed).withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(folds))).persist()
     scores: dict[str, list[float]] = {"smooth": [], "tree": []}
     try:
         for k in range(folds):
             train, test = some.filter(F.col("_fold") != k), some.filter(F.col("_fold") == k)
-            y = as_number_column(test, target)
-            tree = fit_tree(train, target, predictors).predict(test.withColumn("_t", y), ["_t"])
-            scores["tree"].append(tree.filter("_t is not null").agg(F.avg(F.pow(F.col("_t") - F.col("_mean"), 2))).first()[0])
-            smooth = fit_smooth(train, target, predictors)
-            scores["smooth"].append(test.filter(y.isNotNull()).agg(F.avg(F.pow(y - smooth.mean(test), 2))).first()[0])
+            seen = test.withColumn("_t", as_number_column(test, target)).filter("_t is not null")
+            for name in list(scores):
+                try:
+                    if name == "tree":
+                        x = fit_tree(train, target, predictors, **(cart or {})).distribution(seen, ["_t"]).toPandas()
+                        mean, pools = x["_mean"].to_numpy(float), list(x["_pool"])
+                    else:
+                        model = fit_smooth(train, target, predictors, **(gam or {}))
+                        x = seen.select("_t", model.mean(seen).alias("_mean")).toPandas()
+                        mean = x["_mean"].to_numpy(float)
+                        pools = list(model.local_pools(mean, "leaf"))
+                    y = x["_t"].to_numpy(float)
+                    loss = (y - mean) ** 2 if score == "mse" else np.array([crps(m + np.asarray(p, float)[None, :], v[None])[0] for m, p, v in zip(mean, pools, y)])
+                    scores[name].append(float(loss.mean()))
+                except ValueError:
+                    del scores[name]
+            if not scores:
+                return "tree", {}
     finally:
         some.unpersist()
     means = {k: float(np.mean(v)) for k, v in scores.items()}
     least = min(means, key=means.get)
-    if rule == "one_se" and means["smooth"] <= means[least] + np.std(scores[least], ddof=1) / np.sqrt(folds) + 1e-12:
+    if rule == "one_se" and "smooth" in means and means["smooth"] <= means[least] + np.std(scores[least], ddof=1) / np.sqrt(folds) + 1e-12:
         return "smooth", means
     return least, means
 
 
+@dataclass
+class Conditional:
+    """One column drawn given the others: the engine's mean, a residual, and a calibration to the column's own margin."""
+
+    target: str
+    model: object
+    engine: str
+    residual: str = "leaf"
+    reference: np.ndarray | None = None
+    marginal: object = None
+    scores: dict | None = None
+
+    def draw(self, df: DataFrame, row_id: str, seed: int) -> DataFrame:
+        """(row_id, draw)."""
+        if self.engine == "nominal":
+            return self.model.draw(df, row_id, seed)
+        raw = self.model.draw(df, row_id, seed, self.residual)
+        if self.reference is None:
+            return raw
+        reference, marginal = self.reference, self.marginal
+
+        @F.pandas_udf("double")
+        def calibrated(x: pd.Series) -> pd.Series:
+            return pd.Series(marginal.quantile(calibrated_u(x.to_numpy(float), reference)))
+
+        return raw.select(row_id, calibrated("draw").alias("draw"))
+
+
+def calibrated_u(raw: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Middle of the empirical distribution function of the sorted ``reference`` at each value, inside (0, 1)."""
+    n = len(reference)
+    u = (np.searchsorted(reference, raw, "left") + np.searchsorted(reference, raw, "right")) / (2 * n)
+    return np.clip(u, 0.5 / n, 1 - 0.5 / n)
+
+
+def fit_conditional(df: DataFrame, target: str, predictors: list[str], marginal, engine: str = "cart", residual: str = "leaf", calibration: str = "quantile", cart: dict | None = None, gam: dict | None = None, cv: dict | None = None, seed: int = 20260101) -> Conditional:
+    """A conditional model of a number; ``engine`` is cart, gam or auto, which takes the better of both by cross-validation
+    and the other one where that cannot be fitted."""
+    if engine not in ("cart", "gam", "auto") or residual not in RESIDUALS or calibration not in CALIBRATIONS:
+        raise ValueError(f"engine must be cart, gam or auto, residual one of {', '.join(RESIDUALS)}, calibration one of {', '.join(CALIBRATIONS)}")
+    rows, scores = df.withColumn("_row", F.monotonically_increasing_id()), None
+    if engine == "auto":
+        name, scores = select_engine(rows, target, predictors, "_row", gam=gam, cart=cart, **(cv or {}))
+        order = ["gam", "cart"] if name == "smooth" else ["cart", "gam"]
+    else:
+        order = [engine]
+    for k, name in enumerate(order):
+        try:
+            model = fit_tree(df, target, predictors, **(cart or {})) if name == "cart" else fit_smooth(df, target, predictors, **(gam or {}))
+            break
+        except ValueError:
+            if k == len(order) - 1:
+                raise
+    out = Conditional(target, model, name, residual, None, marginal, scores)
+    if calibration == "quantile":
+        from tabweave.operators.metrics import capped
+
+        drawn = out.draw(capped(rows, REFERENCE, seed), "_row", seed).select("draw").toPandas()  # at most REFERENCE rows
+        out.reference = np.sort(drawn["draw"].to_numpy(float))
+    return out
+
+
 @dataclass
 class NominalModel:
     encoder: Encoder

@@ -92,6 +92,7 @@ class Stratum:
     marginals: dict[str, Marginal]
     copula: Copula
     pooled: bool = False
+    conditional: object = None
 
 
 @dataclass
@@ -384,8 +385,15 @@ def _t_df(x: _Layout, frame: pd.DataFrame | None, R: np.ndarray) -> float:
     return best[1]
 
 
-def fit(df: DataFrame, copula: str = "gaussian", by: list[str] | None = None, ids: list[str] | None = None, min_stratum_size: int = 20, missing: str = "joint", interpolation: str = "linear", discrete_threshold: int = 20, knots: int | None = None, pd_method: str = "auto", max_strata: int = 1000) -> Synthesizer:
-    """Fit a table.  Strata (``by``) smaller than ``min_stratum_size`` use the pooled model."""
+def fit(df: DataFrame, copula: str = "gaussian", by: list[str] | None = None, ids: list[str] | None = None, min_stratum_size: int = 20, missing: str = "joint", interpolation: str = "linear", discrete_threshold: int = 20, knots: int | None = None, pd_method: str = "auto", max_strata: int = 1000, nonlinear_target: str | None = None, nominal_target: str | None = None, **conditional) -> Synthesizer:
+    """Fit a table (or a vector or matrix, see ``as_table``).  Strata (``by``) smaller than ``min_stratum_size`` use the pooled model.
+
+    ``nonlinear_target`` names one column of numbers that is drawn from a conditional model of the other columns
+    instead of the copula; ``conditional`` holds its settings: engine (cart, gam, auto), residual (leaf, global,
+    none), calibration (quantile, none), and dicts cart, gam and cv.  ``nominal_target`` does the same for one label
+    column by a multinomial model (settings decay and maxit).  Strata fit their own conditional models; where one
+    cannot be fitted, the copula draws the column, with a warning."""
+    df = as_table(df)
     for value, allowed, name in ((copula, ("gaussian", "t", "independence"), "copula"), (missing, ("joint", "independent", "drop"), "missing"), (interpolation, ("linear", "spline"), "interpolation"), (pd_method, ("auto", "higham", "eigen", "none"), "pd_method")):
         if value not in allowed:
             raise ValueError(f"{name} must be one of {', '.join(allowed)}")
@@ -399,6 +407,7 @@ def fit(df: DataFrame, copula: str = "gaussian", by: list[str] | None = None, id
     if not columns:
         raise ValueError("no column is left to model")
 
+    target = _conditional_target(df, columns, nonlinear_target, nominal_target, conditional)
     n = df.count()
     if n < 2:
         raise ValueError("at least two rows are needed")
@@ -429,9 +438,73 @@ def fit(df: DataFrame, copula: str = "gaussian", by: list[str] | None = None, id
                 strata.append(Stratum(key, r["count"], own[r[name]], copulas[r[name]]))
             else:
                 strata.append(replace(pooled, key=key, n=r["count"], pooled=True))
+    if target:
+        if nonlinear_target and pooled.marginals[target].type != "continuous":
+            raise ValueError(f"{target} must have a continuous margin")
+        pooled.conditional = _fit_conditional(df, target, columns, pooled, nominal_target is not None, conditional)
+        lacking = []
+        for i, s in enumerate(strata):
+            if s.pooled:
+                strata[i] = replace(s, conditional=pooled.conditional)
+                continue
+            try:
+                s.conditional = _fit_conditional(df.filter(_of_stratum(by, s.key)), target, columns, s, nominal_target is not None, conditional)
+            except ValueError:
+                lacking.append(str(s.key))
+        if lacking:
+            warnings.warn(f"the copula draws {target} in strata without a conditional model: {', '.join(lacking)}", stacklevel=2)
     return Synthesizer(df.schema, columns, by, ids, pooled, strata, missing, n)
 
 
+def as_table(data, spark: SparkSession | None = None) -> DataFrame:
+    """A DataFrame as it is; a pandas frame or a matrix by columns (V1, V2, ...); a vector as column x."""
+    if isinstance(data, DataFrame):
+        return data
+    spark = spark or SparkSession.getActiveSession()
+    if isinstance(data, pd.DataFrame):
+        return spark.createDataFrame(data)
+    x = np.asarray(data)
+    if x.ndim not in (1, 2):
+        raise TypeError("a table, matrix or vector is needed")
+    names = ["x"] if x.ndim == 1 else [f"V{k + 1}" for k in range(x.shape[1])]
+    return spark.createDataFrame(pd.DataFrame(x.reshape(len(x), -1), columns=names))
+
+
+def _of_stratum(by: list[str], key: tuple):
+    match = F.lit(True)
+    for c, v in zip(by, key):
+        match = match & F.col(c).eqNullSafe(F.lit(v))
+    return match
+
+
+def _conditional_target(df: DataFrame, columns: list[str], number: str | None, label: str | None, settings: dict) -> str | None:
+    target = number or label
+    if number and label:
+        raise ValueError("nonlinear_target and nominal_target exclude each other")
+    if not target:
+        if settings:
+            raise TypeError(f"unknown settings: {', '.join(settings)}")
+        return None
+    if target not in columns or len(columns) < 2:
+        raise ValueError(f"{target} must be a modelled column beside others")
+    kind = value_class(df.schema[target])
+    if number and kind != "double" or label and kind not in ("string", "factor", "boolean"):
+        raise ValueError(f"{target} must be {'a column of doubles' if number else 'an unordered label'}")
+    unknown = set(settings) - ({"engine", "residual", "calibration", "cart", "gam", "cv"} if number else {"decay", "maxit"})
+    if unknown:
+        raise TypeError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return target
+
+
+def _fit_conditional(df: DataFrame, target: str, columns: list[str], s: Stratum, nominal: bool, settings: dict):
+    from tabweave.operators.conditional import Conditional, fit_conditional, fit_nominal
+
+    predictors = [c for c in columns if c != target and s.marginals[c].type != "empty"]
+    if nominal:
+        return Conditional(target, fit_nominal(df, target, predictors, **settings), "nominal")
+    return fit_conditional(df, target, predictors, s.marginals[target], **settings)
+
+
 def stratum_labels(model: Synthesizer) -> list[str]:
     """Names of the strata, as "column=value" joined by commas; the pooled model is "(pooled)"."""
     return [", ".join(f"{c}={'NA' if v is None else v}" for c, v in zip(model.by, s.key)) for s in model.strata] or ["(pooled)"]
@@ -514,6 +587,9 @@ def generate(model: Synthesizer, spark: SparkSession, n: int | None = None, seed
             if bad:
                 why = [f"{c} ({'stratum column' if c in model.by else 'identifier' if c in model.ids else 'unknown'})" for c in bad]
                 raise ValueError(f"{name} names columns that are not modelled: {', '.join(why)}")
+    conditional = any(s.conditional for s in (model.pooled, *model.strata))
+    if conditional and (closeness != 1 or perturb is not None):
+        raise ValueError("conditional models need closeness 1 and no perturbation")
     p = Perturbation.closeness(closeness)
     p = p.combined(perturb, model.columns) if perturb is not None else p
     parts = model.strata or [model.pooled]
@@ -527,6 +603,8 @@ def generate(model: Synthesizer, spark: SparkSession, n: int | None = None, seed
     ends = np.cumsum(sizes)
     names = [*model.by, *model.columns]
     raw = T.StructType([T.StructField("_id", T.LongType()), *[T.StructField(c, T.StringType() if c in model.by or model.pooled.marginals[c].type == "categorical" else T.DoubleType()) for c in names]])
+    bare = replace(model, pooled=replace(model.pooled, conditional=None), strata=[])  # what tasks need
+    parts = [replace(s, conditional=None) for s in parts]
     keys = [[None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in s.key] for s in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,15 +613,15 @@ def generate(model: Synthesizer, spark: SparkSession, n: int | None = None, seed
             which = np.searchsorted(ends, every, side="right")
             for k in np.unique(which):
                 rows, s = every[which == k], parts[k]
-                values = _block(model, s, rows, seed, p)
+                values = _block(bare, s, rows, seed, p)
                 arrays = [pa.array(rows)]
                 for i, c in enumerate(names):
-                    if c in model.by:
+                    if c in bare.by:
                         arrays.append(pa.array([keys[k][i]] * len(rows), pa.string()))
                         continue
                     v, gone = values[c]
                     m = s.marginals[c]
-                    if model.pooled.marginals[c].type == "categorical":
+                    if bare.pooled.marginals[c].type == "categorical":
                         labels = np.array([*m.values, None] if m.values else [None], object)[v.astype(int) if m.values else np.zeros(len(rows), int)]
                         arrays.append(pa.array(labels, pa.string(), mask=gone))
                     else:
@@ -568,11 +646,40 @@ def generate(model: Synthesizer, spark: SparkSession, n: int | None = None, seed
             elif not isinstance(f.dataType, T.StringType):
                 x = x.cast(f.dataType)
         out.append(x.alias(f.name, metadata=f.metadata or {}))
-    return drawn.select(*out)
+    return _conditionally(model, drawn.select("_id", *out), seed) if conditional else drawn.select(*out)
+
+
+def _conditionally(model: Synthesizer, rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (with ``_id``) where the conditional models have drawn their column; gaps stay where the copula put them."""
+    target = next(s.conditional.target for s in (model.pooled, *model.strata) if s.conditional)
+    field = model.schema[target]
+    parts, rest = [], F.lit(True)
+    shared = [s for s in model.strata if s.conditional is model.pooled.conditional] if model.strata else [model.pooled]
+    for s in [*(x for x in model.strata if x.conditional and x.conditional is not model.pooled.conditional), *shared[:1]]:
+        those = shared if s in shared else [s]
+        match = F.lit(False) if model.strata else F.lit(True)
+        for x in those if model.strata else []:
+            match = match | _of_stratum(model.by, x.key)
+        part, rest = rows.filter(match), rest & ~match
+        drawn = s.conditional.draw(part, "_id", seed)
+        parts.append(part.join(drawn, "_id").withColumn(target, F.when(F.col(target).isNotNull(), F.col("draw").cast(field.dataType)).alias(target, metadata=field.metadata or {})))
+    if model.strata and any(s.conditional is None for s in model.strata):
+        parts.append(rows.filter(rest).withColumn("draw", F.lit(None).cast("double")))
+    out = parts[0].select(*model.schema.names)
+    for x in parts[1:]:
+        out = out.unionByName(x.select(*model.schema.names))
+    return out
+
 
+def synthesize(df: DataFrame, n: int | None = None, seed: int = 1, closeness: float = 1.0, perturb: Perturbation | None = None, file: str | None = None, format: str | None = None, **settings) -> DataFrame:
+    """Fit and generate; with ``file`` the rows are written there, in the format of its extension or ``format``."""
+    df = as_table(df)
+    out = generate(fit(df, **settings), df.sparkSession, n, seed, closeness, perturb)
+    if file:
+        from tabweave.sources.writers import write_data
 
-def synthesize(df: DataFrame, n: int | None = None, seed: int = 1, closeness: float = 1.0, perturb: Perturbation | None = None, **settings) -> DataFrame:
-    return generate(fit(df, **settings), df.sparkSession, n, seed, closeness, perturb)
+        write_data(out, file, format)
+    return out
 
 
 def simulate(model: Synthesizer, spark: SparkSession, draws: int = 1, seed: int = 1, **settings) -> DataFrame:

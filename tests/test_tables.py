@@ -142,6 +142,63 @@ def test_conditional_models(spark, mixed):
     assert {r["draw"] for r in nominal.draw(df, "id", 1).select("draw").distinct().collect()} <= {"a", "b", "c"}
 
 
+def test_conditional_models_inside_the_fit(spark, mixed, tmp_path):
+    df = mixed.select("num", "fac", F.when(F.col("num") < 1.5, F.pow("num", 2) + 0.1 * F.rand(3)).alias("y"))
+    for settings in ({"engine": "cart"}, {"engine": "gam", "residual": "global"}, {"engine": "cart", "residual": "none", "calibration": "none"}):
+        out = synthesizer.synthesize(df, n=1500, seed=3, nonlinear_target="y", **settings)
+        assert out.dtypes == df.dtypes and out.count() == 1500
+        seen = out.filter("y is not null")
+        assert seen.agg(F.corr("y", F.pow("num", 2))).first()[0] > 0.85  # the copula alone gives about 0
+        assert 0.02 < 1 - seen.count() / 1500 < 0.12
+    auto = synthesizer.fit(df, nonlinear_target="y", engine="auto", cv={"folds": 2, "max_rows": 800})
+    assert auto.pooled.conditional.engine in ("cart", "gam") and set(auto.pooled.conditional.scores) == {"tree", "smooth"}
+    with pytest.raises(ValueError, match="closeness"):
+        synthesizer.generate(auto, spark, 5, closeness=0.5)
+    by = df.withColumn("k", F.when(F.col("num") > 0, "hi").otherwise("lo"))
+    out = synthesizer.synthesize(by, n=400, by=["k"], nonlinear_target="y", file=f"{tmp_path}/o.csv")
+    assert out.count() == 400 and os.path.isdir(f"{tmp_path}/o.csv")
+    label = synthesizer.synthesize(df.select("num", F.when(F.abs("num") > 1, "far").otherwise("near").alias("c")), n=800, nominal_target="c")
+    assert {r["c"] for r in label.select("c").distinct().collect()} == {"far", "near"}
+    with pytest.raises(ValueError, match="exclude"):
+        synthesizer.fit(df, nonlinear_target="y", nominal_target="fac")
+    assert synthesizer.synthesize(np.arange(50.0), n=20).columns == ["x"] and synthesizer.synthesize(np.ones((9, 2)), n=3).columns == ["V1", "V2"]
+
+
+def test_t_copula_and_strata(spark):
+    x = mvdist.r_copula(spark, 4000, "t", 3, corr=0.5, df=4.0, seed=3)
+    gaps = x.select(F.when(F.col("U1") > 0.2, F.col("U1")).alias("a"), F.col("U2").alias("b"), (F.col("U3") > 0.5).alias("k"))
+    model = synthesizer.fit(x, copula="t")
+    assert model.correlation().loc["U1", "U2"] == pytest.approx(0.5, abs=0.08) and 2 <= model.pooled.copula.df <= 8
+    assert synthesizer.fit(gaps, copula="t", by=["k"]).n_pair((True,)).loc["a", "b"] > 1000
+    with pytest.raises(ValueError, match="unknown stratum"):
+        synthesizer.fit(gaps, by=["k"]).correlation(("nope",))
+
+
+def test_series_methods(spark):
+    s = spark.range(60).select(F.col("id").alias("t"), F.when(F.col("id") != 7, F.sin(F.col("id") / 5.0)).alias("x"))
+    for method in ("block", "stationary", "iid"):
+        with pytest.warns(UserWarning, match="interpolated"):
+            model = timeseries.fit_series(s, "t", ["x"], method=method, start=2000.0, frequency=12.0)
+        out = timeseries.dated(timeseries.generate_series(model, spark, 30, sims=2), model)
+        assert out.groupBy("sim").count().orderBy("sim").collect() == [(1, 30), (2, 30)] and out.filter("t = 13").first()["time"] == 2001.0
+    with pytest.warns(UserWarning, match="not used"):
+        timeseries.fit_series(s.dropna(), "t", ["x"], method="block", order=2)
+
+
+def test_plot_data(spark, mixed):
+    from tabweave.operators import plotdata
+
+    assert plotdata.percent(0.1234) == "12.3%" and plotdata.picked(mixed, mixed, numbers=True) == ["num", "cnt", "day", "gap"]
+    with pytest.warns(UserWarning, match="first 5"):
+        assert len(plotdata.pair_points(mixed, points=10).columns) == 5
+    with pytest.raises(ValueError, match="at most 5"):
+        plotdata.pair_points(mixed, mixed.columns)
+    tiles = plotdata.association_tiles(mixed.select("num", "fac"), mixed.select("num", "fac"))
+    assert tiles.count() == 4 and tiles.agg(F.max("difference")).first()[0] == 0
+    bars = plotdata.distance_histogram(spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.5), ("b", None)], "source string, distance double"), 2)
+    assert sorted((r["source"], r["bin"], r["share"]) for r in bars.collect()) == [("a", 0, 0.5), ("a", 1, 0.5), ("b", 1, 1.0)]
+
+
 def test_series_models(spark):
     s = spark.range(400).select(F.col("id").alias("t"), F.sin(F.col("id") / 5).alias("x"), F.cos(F.col("id") / 7).alias("y"))
     model = timeseries.fit_series(s, "t", ["x", "y"], max_lag=4)
