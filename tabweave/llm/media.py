@@ -3,9 +3,9 @@ that indexes any such file by its box structure and sample tables alone.
 
 ``encode`` writes one mono track of unsigned 8-bit PCM ('raw ') whose access units
 are 64-byte frames; every SYNC-th frame is marked as a sync sample.  ``index``
-walks nested boxes, decodes stts, stsc, stsz, stco or co64 and stss, and returns
-codec, duration and the byte ranges of samples and sync samples without touching
-the payload.  ``payload`` then reads those ranges back.
+walks nested boxes, decodes stts, stsc, stsz or stz2, stco or co64 and stss, and the runs
+of fragments (trex, tfhd, trun), and returns codec, duration and the byte ranges of
+samples and sync samples without touching the payload.  ``payload`` then reads those ranges back.
 """
 
 from __future__ import annotations
@@ -139,23 +139,91 @@ def _table(data: bytes, at: int, kind: str, width: int) -> np.ndarray:
 
 
 def index(data: bytes) -> list[Track]:
-    """Tracks of a media file.  Empty or foreign bytes give no tracks; a track whose tables
-    are cut off or contradict each other raises ValueError."""
+    """Tracks of a media file, fragments included.  Empty or foreign bytes give no tracks; a track whose
+    tables are cut off or contradict each other raises ValueError."""
     tracks: list[Track] = []
     tables: list[dict] = []
-    for path, at, end in walk(data):
-        kind = path[-1]
-        if kind == b"trak":
-            tracks.append(Track())
-            tables.append({})
-        elif tracks and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss"):
-            tables[-1][kind] = (at, end)
+    by_id: dict[int, tuple[Track, dict]] = {}
+    fragment: dict = {}
+    try:
+        for path, at, end in walk(data):
+            kind = path[-1]
+            if kind == b"trak":
+                tracks.append(Track())
+                tables.append({})
+            elif kind == b"tkhd" and tracks:
+                by_id[struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]] = tracks[-1], tables[-1]
+            elif kind == b"moof":
+                if tables:
+                    _finish(data, tracks, tables)
+                fragment = {"moof": at - 8}
+            elif kind == b"trex":
+                track_id, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+                by_id[track_id][1]["trex"] = duration, size, flags
+            elif kind == b"tfhd":
+                fragment = {"moof": fragment["moof"], "tfhd": at}
+            elif kind == b"trun":
+                _run(data, at, fragment, by_id)
+            elif tracks and b"moof" not in path and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
+                tables[-1][kind] = (at, end)
+        _finish(data, tracks, tables)
+    except (struct.error, KeyError, IndexError) as e:
+        raise ValueError(f"broken sample tables: {e!r}") from e
+    for track in tracks:
+        if len(track.size) and ((track.offset + track.size).max() > len(data) or (track.offset < 0).any()):
+            raise ValueError("samples beyond the file")
+    return tracks
+
+
+def _finish(data: bytes, tracks: list[Track], tables: list[dict]) -> None:
+    """Decode the tables of the tracks that have not been decoded."""
     for track, own in zip(tracks, tables):
-        try:
+        if "done" not in own:
+            own["done"] = True
             _decode(data, track, own)
-        except (struct.error, KeyError, IndexError) as e:
-            raise ValueError(f"broken sample tables: {e!r}") from e
-    return tracks
+
+
+def _run(data: bytes, at: int, fragment: dict, by_id: dict) -> None:
+    """Add the samples of one run of a fragment to its track."""
+    head = fragment["tfhd"]
+    flags, track_id = struct.unpack_from(">II", data, head)
+    track, own = by_id[track_id]
+    duration, size, mark = own.get("trex", (0, 0, 0))
+    p, base = head + 8, fragment["moof"]
+    if flags & 1:
+        base, p = struct.unpack_from(">Q", data, p)[0], p + 8
+    p += 4 if flags & 2 else 0
+    if flags & 8:
+        duration, p = struct.unpack_from(">I", data, p)[0], p + 4
+    if flags & 16:
+        size, p = struct.unpack_from(">I", data, p)[0], p + 4
+    if flags & 32:
+        mark = struct.unpack_from(">I", data, p)[0]
+    flags, n = struct.unpack_from(">II", data, at)
+    p = at + 8
+    start = fragment.get("next", base)
+    if flags & 1:
+        start, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+    marks, sizes, lengths = np.full(n, mark), np.full(n, size, np.int64), np.full(n, duration, np.int64)
+    if flags & 4:
+        if n:
+            marks[0] = struct.unpack_from(">I", data, p)[0]
+        p += 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    rows = np.frombuffer(data, ">u4", n * len(fields), p).reshape(n, len(fields)).astype(np.int64) if fields and n else np.zeros((n, 0), np.int64)
+    for k, f in enumerate(fields):
+        if f == 0x100:
+            lengths = rows[:, k]
+        elif f == 0x200:
+            sizes = rows[:, k]
+        elif f == 0x400:
+            marks = rows[:, k]
+    fragment["next"] = start + int(sizes.sum())
+    track.sync = np.append(track.sync, len(track.size) + np.flatnonzero((marks & 0x10000) == 0))
+    track.offset = np.append(track.offset, start + np.cumsum(sizes) - sizes)
+    track.size = np.append(track.size, sizes)
+    if not own.get("fixed", True):
+        track.duration += int(lengths.sum())
 
 
 def _decode(data: bytes, track: Track, own: dict) -> None:
@@ -163,8 +231,18 @@ def _decode(data: bytes, track: Track, own: dict) -> None:
     track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
     track.handler = data[own[b"hdlr"][0] + 8 : own[b"hdlr"][0] + 12].decode("latin-1")
     track.codec = data[own[b"stsd"][0] + 12 : own[b"stsd"][0] + 16].decode("latin-1")
-    fixed, n = struct.unpack_from(">II", data, own[b"stsz"][0] + 4)
-    track.size = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, own[b"stsz"][0] + 12).astype(np.int64)
+    own["fixed"] = bool(track.duration)  # a file of fragments may leave its duration open
+    if b"stz2" in own:
+        at = own[b"stz2"][0]
+        width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+        if width == 4:
+            halves = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+            track.size = np.stack([halves >> 4, halves & 15], 1).ravel()[:n].astype(np.int64)
+        else:
+            track.size = np.frombuffer(data, {8: ">u1", 16: ">u2"}[width], n, at + 12).astype(np.int64)
+    else:
+        fixed, n = struct.unpack_from(">II", data, own[b"stsz"][0] + 4)
+        track.size = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, own[b"stsz"][0] + 12).astype(np.int64)
     offsets = _table(data, own[b"co64"][0], ">u8", 1)[:, 0] if b"co64" in own else _table(data, own[b"stco"][0], ">u4", 1)[:, 0]
     runs = _table(data, own[b"stsc"][0], ">u4", 3)
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(offsets) + 1)))
@@ -174,8 +252,6 @@ def _decode(data: bytes, track: Track, own: dict) -> None:
     first = np.cumsum(per_chunk) - per_chunk
     chunk = np.repeat(np.arange(len(offsets)), per_chunk)
     track.offset = offsets[chunk] + before - before[first][chunk]
-    if n and (track.offset + track.size).max() > len(data):
-        raise ValueError("samples beyond the file")
     track.sync = _table(data, own[b"stss"][0], ">u4", 1)[:, 0] - 1 if b"stss" in own else np.arange(n)
 
 
@@ -211,13 +287,13 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-INDEX = "media_bytes long, media_sha256 string, codec string, seconds double, n_samples long, sync array<struct<offset:bigint,size:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+INDEX = "media_bytes long, media_sha256 string, codec string, seconds double, n_samples long, sync array<struct<offset:bigint,size:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
 
 
-def read_back(media: DataFrame, ranges: bool = True) -> DataFrame:
-    """For each stored file the columns of INDEX after doc_id and n_bytes; ``ranges=False``
-    leaves the array of sync ranges null.  A null file gives nulls."""
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.string()]
+def read_back(media: DataFrame) -> DataFrame:
+    """For each stored file the columns of INDEX after doc_id and n_bytes.  A null file gives nulls; a broken one gives
+    its size and digest, nulls, and the reason as ``error``."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in INDEX.split(", ")]
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *zip(names, kinds)])
 
@@ -228,11 +304,16 @@ def read_back(media: DataFrame, ranges: bool = True) -> DataFrame:
                 if data is None:
                     yield from out.add((doc_id, n, *[None] * len(names)))
                     continue
-                found = index(data)
+                head = (doc_id, n, len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    found = index(data)
+                except ValueError as e:
+                    yield from out.add((*head, *[None] * (len(names) - 3), str(e)))
+                    continue
                 track = found[0] if found else Track()
                 back = payload(data, track)
-                sync = [{"offset": a, "size": k} for a, k in track.ranges()] if ranges else None
-                yield from out.add((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), track.codec.strip(), track.seconds, len(track.size), sync, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), feature(track)), 400 + 16 * len(sync or ()))
+                sync = [{"offset": a, "size": k} for a, k in track.ranges()]
+                yield from out.add((*head, track.codec.strip(), track.seconds, len(track.size), sync, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), feature(track), None), 400 + 16 * len(sync))
         yield from out.flush()
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {INDEX}")
@@ -240,6 +321,7 @@ def read_back(media: DataFrame, ranges: bool = True) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature.  Equal texts give equal values; a null text is the empty text
-    (64 zero bytes); null ids stay null; only doc_id and text are read."""
-    return read_back(store(docs), ranges=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    media_sha256, feature, codec, seconds, n_samples, sync (byte ranges of the sync samples), error.  Equal texts
+    give equal values; a null text is the empty text (64 zero bytes); null ids stay null; only doc_id and text
+    are read; an empty table gives an empty table."""
+    return read_back(store(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "n_samples", "sync", "error")

@@ -271,7 +271,23 @@ def test_isolated_pairs_of_a_dense_label_are_all_found(spark):
     A = U @ U.T >= 0.98
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(X)], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(df).collect()}
-    assert A.sum() > len(X) + 400 and all(got[i] == n - 1 for i, n in enumerate(A.sum(axis=1)))
+    found = sum(got.values())
+    assert A.sum() > len(X) + 400 and found >= 0.995 * (A.sum() - len(X)) and all(got[i] <= n - 1 for i, n in enumerate(A.sum(axis=1)))
+
+
+def test_windows_of_many_hashes_find_the_links(spark):
+    assert vector_dups.plan(200, 1.0) == (0, 1) and vector_dups.plan(5000, 1e-3) == (0, 1)
+    hashes, passes = vector_dups.plan(12_000_000, 1.0)
+    assert hashes >= 14 and passes <= vector_dups.MOST
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((2500, 32))
+    X = np.concatenate([centres, centres[:400] + 0.15 * rng.standard_normal((400, 32)), centres[:3].repeat(60, 0) + 0.05 * rng.standard_normal((180, 32))])
+    U = X / np.linalg.norm(X, axis=1)[:, None]
+    A = U @ U.T >= 0.98
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(X)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dups.near_vectors(df, window=32, block=64).collect()}
+    want = A.sum() - len(X)
+    assert want > 5000 and sum(got.values()) >= 0.998 * want and all(got[i] <= n - 1 for i, n in enumerate(A.sum(axis=1)))
 
 
 # op4 ---------------------------------------------------------------------------------------------
@@ -287,6 +303,12 @@ def test_media_round_trip(spark, docs, odd):
             assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) and len(p) % 64 == 0 and p
             f = media.encode(p)
             assert (r["media_bytes"], r["media_sha256"]) == (len(f), hashlib.sha256(f).hexdigest())
+            frames, at = len(p) // 64, f.index(b"mdat") + 4
+            marks = [(at + k * 64, 64) for k in range(0, frames, 16)]
+            assert [tuple(x) for x in r["sync"]] == marks and (r["codec"], r["seconds"], r["n_samples"], r["error"]) == ("raw", len(p) / 8000, frames, None)
+            crc = zlib.crc32(",".join(f"{a}+{n}" for a, n in marks).encode())
+            assert r["feature"] == f"codec=raw;seconds={len(p) / 8000:.6f};samples={frames};sync={len(marks)};first={marks[0][0]}+64;last={marks[-1][0]}+64;ranges={crc:08x}"
+    assert media.media_columns(odd.limit(0)).count() == 0
 
 
 def test_media_index_without_payload():
@@ -303,6 +325,43 @@ def test_media_index_without_payload():
     assert [p[-1] for p, _, _ in media.walk(big)] == [b"free", b"moov", b"trak"]
 
 
+def test_broken_files_are_rows_with_a_reason(spark):
+    f = media.encode(media.pad(b"x" * 500))
+    rows = [(1, 1, f[:-40]), (2, 1, f[: f.index(b"stco") + 6]), (3, 1, None), (4, 1, b"junk"), (5, 1, f)]
+    got = by_id(media.read_back(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")))
+    assert got[1]["error"] == "samples beyond the file" and got[1]["payload_bytes"] is None and got[1]["media_bytes"] == len(f) - 40
+    assert got[3]["media_bytes"] is None and got[4]["n_samples"] == 0 and got[5]["n_samples"] == 8 and got[5]["error"] is None
+
+
+def test_fragments_and_small_sizes():
+    import struct
+
+    box, full = media.box, media.full
+    entry = box(b"avc1", bytes(16))
+    heads = [full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0), bytes(4)), full(b"hdlr", bytes(4), b"vide", bytes(12))]
+
+    def movie(tables, more=b""):
+        return box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(60)), box(b"mdia", *heads, box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), *tables)))), more)
+
+    empty = [full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4))]
+    moov = movie(empty, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 9, 0x10000))))
+
+    def moof(offset):
+        run = full(b"trun", struct.pack(">IiI", 3, offset, 0), struct.pack(">3I", 5, 6, 7), flags=0x205)
+        return box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), run))
+
+    size = len(moof(0))
+    data = moov + moof(size + 8) + box(b"mdat", b"aaaaabbbbbbccccccc")
+    (t,) = media.index(data)
+    assert t.codec == "avc1" and media.payload(data, t) == b"aaaaabbbbbbccccccc" and t.seconds == 0.12
+    assert t.ranges() == [(len(moov) + size + 8, 5)]
+    for width, packed in ((4, bytes([0x56, 0x70])), (8, bytes([5, 6, 7])), (16, struct.pack(">3H", 5, 6, 7))):
+        tables = lambda at: [full(b"stts", struct.pack(">III", 1, 3, 40)), full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), full(b"stz2", bytes(3), bytes([width]), struct.pack(">I", 3), packed), full(b"stco", struct.pack(">II", 1, at))]  # noqa: B023,E731
+        data = movie(tables(len(movie(tables(0))) + 8)) + box(b"mdat", b"aaaaabbbbbbccccccc")
+        (t,) = media.index(data)
+        assert t.size.tolist() == [5, 6, 7] and media.payload(data, t) == b"aaaaabbbbbbccccccc" and len(t.ranges()) == 3
+
+
 # op5 ---------------------------------------------------------------------------------------------
 
 
@@ -364,11 +423,38 @@ def test_counts_and_cache(spark, docs, odd, tmp_path):
         want = sorted(((r["doc_id"] or -1, len((r["text"] or "").encode()), len(lib.encode(r["text"] or ""))) for r in df.collect()))
         assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in got) == want and all(r["over_limit"] == (r["n_tokens"] > 50) for r in got)
     stored = spark.read.parquet(cache)
-    assert stored.count() == stored.select("content").distinct().count() == docs.select("text").union(odd.select(F.coalesce("text", F.lit("")))).distinct().count()
+    assert stored.count() == stored.select("content").distinct().count() == docs.select("text").union(odd.select(F.coalesce("text", F.lit("")))).select(F.translate("text", "\u2581", " ")).distinct().count()
     other = token_counts.token_counts(odd, public_tokenizers.path("byte_bpe_50k.json"), cache=cache)
     assert by_id(other)[8]["n_tokens"] == 10
 
 
+def test_a_second_run_reads_no_text(spark, docs, tmp_path, monkeypatch):
+    cache = f"{tmp_path}/cache"
+    first = sorted(map(tuple, token_counts.token_counts(docs, MODEL, cache=cache).collect()))
+    n = spark.read.parquet(cache).count()
+
+    def never(*_):
+        raise AssertionError("text was sent or encoded")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "_sent", never)
+        m.setattr(token_counts, "_encoded", never)
+        assert sorted(map(tuple, token_counts.token_counts(docs, MODEL, cache=cache).collect())) == first
+    assert spark.read.parquet(cache).count() == n
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "a new text"), (-1, "a new text"), (-2, "a new\u2581text")], "doc_id long, text string"))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "_sent", never)  # few misses are encoded where they lie
+        got = token_counts.token_counts(more, MODEL, cache=cache)
+        assert got.count() == docs.count() + 3 and got.filter("doc_id < 0").select("n_tokens").distinct().count() == 1
+    assert spark.read.parquet(cache).count() == n + 1  # U+2581 and the space are one to this vocabulary
+    monkeypatch.setattr(token_counts, "FEW", 0)
+    parts = sorted(map(tuple, token_counts.token_counts(docs, MODEL, cache=f"{tmp_path}/other").collect()))
+    assert parts == first
+    assert token_counts.token_counts(docs.limit(0), MODEL, cache=cache).count() == 0 and piece_bpe.piece_ids(docs.limit(0), MODEL).count() == 0
+    kept = token_counts.token_counts(docs.limit(5), MODEL)
+    assert kept.count() == 5 and spark.read.parquet(f"{token_counts.shared_dir(spark)}/token-count-cache").count() >= 5
+
+
 def test_piece_ids_equal_the_library(spark, docs, odd):
     import sentencepiece
 
@@ -470,6 +556,69 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[100]["spans"] == "context:16:29" and got[101]["spans"] == "" and got[3]["spans"].startswith("phone:16:")
 
 
+def slow_patterns(rows, confidence=0.8, support=8, smoothing=1.0):
+    """The bootstrapping in plain dictionaries: (pattern, kind) of confident patterns."""
+    kinds, instances = {}, {}
+    for pattern, instance, kind in rows:
+        instances.setdefault(pattern, set()).add(instance)
+        if kind is not None:
+            kinds[pattern, instance] = max(kind, kinds.get((pattern, instance), -1))
+    good = {}
+    for _ in range(private_data.ROUNDS):
+        chance = {}
+        for (p, k), score in good.items():
+            for i in instances[p]:
+                if (p, i) not in kinds:
+                    chance[i, k] = chance.get((i, k), 1.0) * (1 - min(score, 0.999))
+        new = {}
+        for p, found in instances.items():
+            totals = {}
+            for i in found:
+                for k, s in ([(kinds[p, i], 1.0)] if (p, i) in kinds else [(k, 1 - c) for (j, k), c in chance.items() if j == i]):
+                    a, n = totals.get(k, (0.0, 0))
+                    totals[k] = a + s, n + 1
+            for k, (a, n) in totals.items():
+                if n >= support and a / (len(found) + smoothing) >= confidence:
+                    new[p, k] = a / (len(found) + smoothing)
+        if set(new) == set(good):
+            return new
+        good = new
+    return good
+
+
+def test_learned_instances_make_further_contexts_confident(spark):
+    rng, rows = random.Random(9), [(1000 + i, f"customer phone: +1 (555) 123-4{i:03d} thanks") for i in range(300)]
+    unseen = [f"0800-{rng.randrange(10**6):06d}X" for _ in range(40)]
+    rows += [(100 + i, f"customer phone: {x} thanks") for i, x in enumerate(unseen)]  # no seed, known context
+    rows += [(200 + i, f"ring account no {x} today") for i, x in enumerate(unseen)]  # the same, in a context without seeds
+    late = [f"(555) 77{rng.randrange(10**5):05d}" for _ in range(6)]
+    rows += [(300 + i, f"ring account no {x} today") for i, x in enumerate(late)]  # only that context tells them
+    rows += [(400 + i, f"the model 77{i}99-{i} in a text of {rng.randrange(10**6, 10**7)} words") for i in range(80)]
+    rows += [(600, None), (601, ""), (None, "customer phone: 0800-SOMEBODY thanks"), (100, rows[300][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = private_data.find(df).collect()
+    caught = {r["doc_id"] for r in got if r["n_context"]}
+    planted = {100 + i for i in range(40)} | {200 + i for i in range(40)} | {300 + i for i in range(6)} | {None}
+    assert caught == planted and len(got) == len(rows)  # precision 1, recall 1
+    text = dict(rows)
+    assert all(text[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] in {*unseen, *late, "0800-SOMEBODY"} for r in got if r["n_context"] for s in r["spans"].split(",") if s.startswith("context"))
+    seen = private_data.found(df).select(F.explode("seen").alias("s")).select("s.*").collect()
+    edges = [(p, r["instance"], r["kind"]) for r in seen for p in r["patterns"]]
+    found = private_data.confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, kind int"), Scratch(spark, "t")).collect()
+    want = slow_patterns(edges)
+    assert {(r["pattern"], r["kind"]) for r in found} == set(want) and all(r["score"] == pytest.approx(want[r["pattern"], r["kind"]]) for r in found)
+
+
+def test_pieces_are_linear_and_join_groups():
+    text = "call (555) 123-4567 or card 4111 1111 1111 1112, iban DE89 3704 0044 0532 0130 00. user: johnsmith id#77-AB9."
+    assert [text[a:b] for a, b in private_data.pieces(text, 0, len(text))] == ["(555) 123-4567", "4111 1111 1111 1112", "DE89 3704 0044 0532 0130 00", "johnsmith", "77-AB9"]
+    for long_ in ("1" * 200_000, "a" * 200_000, "a:" * 100_000, "1 " * 100_000, "(1) " * 60_000, "1." * 100_000, "+1" * 60_000):
+        start = time.perf_counter()
+        list(private_data.pieces(long_, 0, len(long_)))
+        private_data.base_spans(long_)
+        assert time.perf_counter() - start < 5
+
+
 # op9 ---------------------------------------------------------------------------------------------
 
 
@@ -510,6 +659,39 @@ def test_copies_of_a_clean_text_hide_no_toxic_one(spark):
     assert missed <= 3 and alarms <= 3
 
 
+def test_risk_and_gradient_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    toxic = [sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()) for _ in range(9)]
+    texts = [sorted(rng.choice(6, rng.integers(0, 3), replace=False).tolist()) for _ in range(40)]
+    counts = Counter(map(tuple, texts))
+    patterns = spark.createDataFrame([(list(k), n) for k, n in counts.items()], "at array<int>, n long").repartition(3)
+    rows = np.repeat(np.arange(9), list(map(len, toxic)))
+    at = toxicity.risk((rows, np.array([c for t in toxic for c in t], np.int64), np.full(9, 1 / 9)), toxicity.unlabelled_sums(patterns, 40), 0.2)
+
+    def slow(w):
+        loss = lambda z: math.log1p(math.exp(-z))
+        score = lambda t: sum(w[c] for c in t) + w[6]
+        part = (sum(loss(-score(t)) for t in texts) / 40 - 0.2 * sum(loss(-score(t)) for t in toxic) / 9) / (toxicity.SOFT * 0.2)
+        clamp = toxicity.SOFT * 0.2 * (part if part > 500 else math.log1p(math.exp(part)))
+        return 0.2 * sum(loss(score(t)) for t in toxic) / 9 + clamp + toxicity.RIDGE / 2 * sum(x * x for x in w[:6])
+
+    for _ in range(4):
+        w = rng.standard_normal(7)
+        value, grad = at(w)
+        assert value == pytest.approx(slow(w), rel=1e-9)
+        for k in range(7):
+            step = np.zeros(7)
+            step[k] = 1e-5
+            assert grad[k] == pytest.approx((slow(w + step) - slow(w - step)) / 2e-5, rel=1e-4, abs=1e-8)
+    w = toxicity.descend(at, np.zeros(7), np.full(7, 5.0))
+    assert at(w)[0] < at(np.zeros(7))[0]
+    lookup = toxicity.Lookup(["vile", "vill~", "x"])
+    for t in ("Vile, villain! x", "VILE villages x_y", "", "no"):
+        assert lookup.text(t) == sorted(i for i, w in enumerate(["vile", "vill~", "x"]) if w in toxicity.words_of(t))
+    copies = np.array([[1] * 64, [1] * 60 + [2] * 4, [3] * 64])
+    assert toxicity.near_copies(copies).tolist() == [0, 0, 2]
+
+
 def test_toxicity_on_odd_tables(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.scores(odd, none).collect()
@@ -549,3 +731,17 @@ def test_pipeline_stage_by_stage(spark, docs):
             assert {r["doc_id"] for r in after} == set(before)
         now = out
     assert corpus_pipeline.run(spark, SF).count() == now.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    plain = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), "n_chars")
+    for df in (plain, plain.limit(0)):
+        now, scratch = df, Scratch(spark, "test")
+        for name, stage in corpus_pipeline.STAGES:
+            out = scratch.write(stage(spark, now, SF), name)
+            if name in ("toxicity", "secret_scan"):
+                assert out.columns == df.columns and out.count() == now.count()
+            elif name == "packing":
+                assert out.count() >= now.count()
+            now = out
