@@ -277,6 +277,6 @@ def series_paths(spark, d):
     return timeseries.generate_series(model, spark, 200, sims=4)
 
 
-from tabweave.plans import file_queries, model_queries  # noqa: E402,F401  (they register theirs)
+from tabweave.plans import file_queries, model_queries, normal_queries  # noqa: E402,F401  (they register theirs)
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

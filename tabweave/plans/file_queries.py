@@ -142,15 +142,15 @@ def refused_writes(spark, d):
 DAY = "CAST(o_orderdate AS DATE)"
 
 
-@query(f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(epoch_us(CASE o_orderkey % 8 WHEN 0 THEN CAST({DAY} AS TIMESTAMP) WHEN 1 THEN {DAY} + INTERVAL '10:11:12.345' HOUR WHEN 2 THEN {DAY} + INTERVAL '08:11:00' HOUR WHEN 3 THEN {DAY} + INTERVAL '10:11:00' HOUR
-WHEN 4 THEN {DAY} + INTERVAL '10:11:12' HOUR WHEN 5 THEN {DAY} + INTERVAL '10:11:12.5' HOUR WHEN 6 THEN {DAY} + INTERVAL '15:41:12' HOUR END) AS BIGINT) AS micros FROM orders""".replace(" HOUR", ""))
+@query(f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(coalesce(epoch_us(CASE o_orderkey % 8 WHEN 0 THEN CAST({DAY} AS TIMESTAMP) WHEN 1 THEN {DAY} + INTERVAL '10:11:12.345' HOUR WHEN 2 THEN {DAY} + INTERVAL '08:11:00' HOUR WHEN 3 THEN {DAY} + INTERVAL '10:11:00' HOUR
+WHEN 4 THEN {DAY} + INTERVAL '10:11:12' HOUR WHEN 5 THEN {DAY} + INTERVAL '10:11:12.5' HOUR WHEN 6 THEN {DAY} + INTERVAL '15:41:12' HOUR END), -1) AS BIGINT) AS micros FROM orders""".replace(" HOUR", ""))
 def parse_times(spark, d):
     key, day, slash = F.col("o_orderkey") % 8, F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy/MM/dd")
     shapes = [slash, F.concat(day, F.lit(" 10:11:12.345")), F.concat(day, F.lit(" 10:11+02:00")), F.concat(day, F.lit("T10:11")), F.concat(slash, F.lit(" 10:11:12")), F.concat(day, F.lit("T10:11:12.5Z")), F.concat(day, F.lit("T10:11:12-0530")), F.lit("soon")]
     text = shapes[7]
     for k in range(7):
         text = F.when(key == k, shapes[k]).otherwise(text)
-    return table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.unix_micros(readers.parse_datetime(text)).alias("micros"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.coalesce(F.unix_micros(readers.parse_datetime(text)), F.lit(-1).cast("long")).alias("micros"))
 
 
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 3 = 0 AS flag, CASE WHEN o_orderkey % 4 > 0 THEN (['low','mid','high'])[CAST(o_orderkey % 4 AS INTEGER)] END AS level, CAST(floor(o_totalprice) AS BIGINT) AS price,
