@@ -29,6 +29,10 @@ CAPACITY = 1024
 BUCKET = 500
 #: Relative gap to the linear program's lower bound at which column generation stops, and its most rounds.
 GAP, ROUNDS = 0.002, 4000
+#: Rounds between new inverses of the basis, and the least pivot.
+REFRESH, PIVOT = 100, 1e-7
+#: Error of a solved pattern at which the inverse is computed anew.
+DRIFT = 1e-7
 #: Fixed value: the special token of the vocabulary; the library parses it inside texts by default.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -147,23 +151,31 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAP
 
     Revised simplex with an explicit basis inverse; sizes are ascending, distinct, at
     most ``capacity``.  It starts from a greedy packing and stops when no pattern prices
-    in, or when the bound z / (best pattern's value) is within ``gap`` of z."""
+    in, or when the bound z / (best pattern's value) is within ``gap`` of z.  Of nearly equal
+    ratios the one with the largest pivot leaves; the inverse is computed anew every REFRESH
+    rounds, and whenever it no longer solves for the new pattern, so that the basis stays regular."""
     basis, x = first_basis(sizes, demand, capacity)  # column p: counts of pattern p
-    inverse = np.linalg.inv(basis.astype(float))
+    inverse, fresh = np.linalg.inv(basis.astype(float)), True
     bound = float(sizes @ demand) / capacity  # no sequence holds more than ``capacity``
     for turn in range(rounds):
         duals = inverse.sum(axis=0)
         value, counts = knapsack(sizes, duals, capacity)
+        direction = inverse @ counts
+        if not fresh and (turn % REFRESH == 0 or np.abs(basis @ direction - counts).max() > DRIFT):
+            inverse, fresh = np.linalg.inv(basis.astype(float)), True
+            x = np.maximum(inverse @ demand, 0.0)
+            continue
         total = float(x.sum())
-        bound = max(bound, total / max(value, 1.0))
+        if fresh:  # the bound holds for exact duals
+            bound = max(bound, total / max(value, 1.0))
         if value <= 1 + 1e-9 or total <= bound * (1 + gap):
             break
-        direction = inverse @ counts
-        with np.errstate(divide="ignore"):
-            ratio = np.where(direction > 1e-10, x / np.where(direction > 1e-10, direction, 1.0), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        usable = direction > PIVOT
+        if not usable.any():
             break
+        ratio = np.where(usable, x / np.where(usable, direction, 1.0), np.inf)
+        tied = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-9) + 1e-9)
+        out = int(tied[direction[tied].argmax()])
         step = ratio[out]
         x = np.maximum(x - step * direction, 0.0)
         x[out] = step
@@ -171,9 +183,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAP
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        if turn % 500 == 499:  # keep rounding errors small
-            inverse = np.linalg.inv(basis.astype(float))
-            x = np.maximum(inverse @ demand, 0.0)
+        fresh = False
     return basis.T.copy(), x
 
 
